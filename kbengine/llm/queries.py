@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, toxicity
+from . import byte_bpe, line_dedup, quality_rules, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed", "text")
+
+
 def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.apply(docs, quality_rules.fit(docs, labels))
@@ -35,8 +39,12 @@ def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "sentences")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_forest, op3_byte_bpe, op8_toxicity_mil)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_forest, op3_byte_bpe, op8_toxicity_mil, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
