@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A to Z to lower case, nothing else.
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: What str.split also takes for white space, though the words' definition doesn't.
+OTHER_SPACE = ("\x1c\x1d\x1e\x1f", "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text; str.split finds the same ones faster where no other white space occurs."""
+    if any(c in text for c in OTHER_SPACE[0]) or not text.isascii() and any(c in text for c in OTHER_SPACE[1]):
+        return WORD.findall(text)
+    return text.split()
+
 
 #: Rows and bytes of one Arrow batch handed to Python; texts can be long.
 BATCH_ROWS = 1024

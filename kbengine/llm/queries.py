@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, quality_rules, substring_dedup, toxicity
+from . import byte_bpe, chat_format, decontamination, line_dedup, quality_rules, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.with_hostile(table(spark, sf_dir, "conversations")))
+
+
+#: Bytes of text a shard holds at most.
+SHARD_BYTES = 1 << 20
+
+
+def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.apply(docs, toxicity.fit(docs, labels))
@@ -43,9 +55,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed", "text")
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_forest, op3_byte_bpe, op8_toxicity_mil, op9_line_dedup)}
+    every = (
+        op1_substring_dedup,
+        op2_quality_forest,
+        op3_byte_bpe,
+        op4_chat_windows,
+        op6_extendible_sharding,
+        op8_toxicity_mil,
+        op9_line_dedup,
+        op10_template_decontamination,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_windows": chat_format.SQL, "op6_extendible_sharding": sharding.SQL.format(limit=SHARD_BYTES)}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import WORD, WordHash, mix
+from .common import WORD, WordHash, mix, words_of
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$")
 MIN_WORDS = 20
@@ -33,7 +33,7 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     """Where each sentence starts, with the text's end after the last, and their words."""
     starts, words, = [0], []
     for m in SENTENCE.finditer(text):
-        own = WORD.findall(m[0])
+        own = words_of(m[0])
         if not own:  # joins the sentence before
             if words:
                 starts[-1] = m.end()
