@@ -64,7 +64,7 @@ class Words(dict):
         else:
             low = core if core.islower() else core.lower()
             out = max(xxhash.xxh3_64_intdigest(low.encode()) & ~7, 64)
-            if low is not core and core[:1].isupper():
+            if low is not core and len(core) > 1 and core[0].isupper() and not core.isupper():  # capitals throughout are no name
                 out |= 1
             if low in UNITS:
                 out |= 4
