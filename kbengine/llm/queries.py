@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, line_dedup, quality_rules, sharding, substring_dedup, toxicity
+from . import byte_bpe, chat_format, decontamination, line_dedup, pii_crf, quality_rules, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.with_hostile(table(spark, sf_dir, "conversations")))
 
 
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.find(docs, pii_crf.fit(docs))
+
+
 #: Bytes of text a shard holds at most.
 SHARD_BYTES = 1 << 20
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_quality_forest,
         op3_byte_bpe,
         op4_chat_windows,
+        op5_pii_crf,
         op6_extendible_sharding,
         op8_toxicity_mil,
         op9_line_dedup,
