@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, line_dedup, pii_crf, quality_rules, sharding, substring_dedup, toxicity
+from . import byte_bpe, chat_format, decontamination, jaccard_join, line_dedup, pii_crf, quality_rules, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op7_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.apply(docs, toxicity.fit(docs, labels))
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_chat_windows,
         op5_pii_crf,
         op6_extendible_sharding,
+        op7_partenum_jaccard,
         op8_toxicity_mil,
         op9_line_dedup,
         op10_template_decontamination,
