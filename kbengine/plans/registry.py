@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, curation, federation, reports, retrieval
+from ..operators import checks, corpus, curation, federation, release, reports, retrieval
+from ..sources import bundle
 from .fixtures import TOK, Tables, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,3 +438,111 @@ def naive_cost(t: Tables) -> DataFrame:
     top = retrieval.bm25(retrieval.index(t.concepts), t.asked, 1).select("qid", "id")
     return reports.navigation(top, t.citations, t.files.select("path", T.size_estimate(F.col("bytes")).alias("tokens")), 1000)
 
+
+
+# --- checks and release
+
+
+def _finding(df: DataFrame) -> DataFrame:
+    return df.select("level", "code", "path", "message")
+
+
+@query(sql("SELECT 'error' AS level, 'E_ID_COLLISION' AS code, id AS path, other AS message FROM (SELECT id, lag(id) OVER (PARTITION BY lower(id) ORDER BY split(id || '.md', '/')) AS other FROM (SELECT id FROM concepts UNION ALL SELECT upper(id) FROM concepts WHERE stale)) WHERE other IS NOT NULL", "concepts"))
+def id_collisions(t: Tables) -> DataFrame:
+    c = t.concepts
+    return _finding(checks.id_collisions(c.select("id").unionByName(c.where("stale").select(F.upper("id").alias("id")))))
+
+
+RULES = {
+    "required_fields": {"_all": ["title", "owner"], "fr": ["reviewed"]},
+    "field_enums": {"en": {"status": ["active", "superseded"]}},
+}
+
+
+@query(sql("m AS (SELECT id, type, title, CASE WHEN quality = 1 THEN 'team' END AS owner, CASE WHEN toxic IS NOT NULL THEN 'yes' END AS reviewed, CASE quality WHEN 1 THEN 'active' WHEN 0 THEN 'unknown' END AS status FROM concepts JOIN docs USING (doc_id)) SELECT 'error' AS level, 'E_REQUIRED_FIELD' AS code, id AS path, 'title' AS message FROM m WHERE coalesce(title, '') = '' UNION ALL SELECT 'error', 'E_REQUIRED_FIELD', id, 'owner' FROM m WHERE owner IS NULL UNION ALL SELECT 'error', 'E_REQUIRED_FIELD', id, 'reviewed' FROM m WHERE type = 'fr' AND reviewed IS NULL UNION ALL SELECT 'error', 'E_FIELD_ENUM', id, 'status' FROM m WHERE type = 'en' AND status NOT IN ('active', 'superseded')", "concepts", "docs", recursive=True))
+def archetype_findings(t: Tables) -> DataFrame:
+    c = t.concepts.join(t.docs.select("doc_id", "quality", "toxic"), "doc_id")
+    meta = F.map_filter(F.create_map(F.lit("title"), F.col("title"), F.lit("owner"), F.when(F.col("quality") == 1, "team"), F.lit("reviewed"), F.when(F.col("toxic").isNotNull(), "yes"), F.lit("status"), F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "unknown")), lambda k, v: v.isNotNull())
+    return _finding(checks.archetype(c.withColumn("meta", meta), RULES))
+
+
+@query(sql("SELECT 'warning' AS level, 'W_BAD_SOURCE' AS code, id AS path, source AS message FROM cites WHERE split_part(source, '#', 1) NOT IN (SELECT path FROM newm)", "cites", "newm"))
+def source_check(t: Tables) -> DataFrame:
+    return _finding(checks.source_existence(t.citations, t.new_manifest))
+
+
+@query(sql("d AS (SELECT path, max(bytes) AS bytes FROM segs WHERE status = 'done' GROUP BY path) SELECT count(*) AS files, count(c.path) AS cited, sum(bytes)::BIGINT AS bytes, coalesce(sum(bytes) FILTER (c.path IS NOT NULL), 0)::BIGINT AS cited_bytes, round_even(100 * count(c.path) / count(*), 0)::BIGINT AS files_pct, round_even(100 * coalesce(sum(bytes) FILTER (c.path IS NOT NULL), 0) / sum(bytes), 0)::BIGINT AS bytes_pct FROM d LEFT JOIN cited c USING (path)", "segs", "cited", recursive=True))
+def reverse_coverage(t: Tables) -> DataFrame:
+    return checks.coverage(t.segments, t.citations)
+
+
+@query(sql("SELECT 'warning' AS level, 'W_SOURCE_OUTSIDE_SCOPE' AS code, path, 'cited but not planned' AS message FROM cited WHERE path IN (SELECT path FROM files) AND path NOT IN (SELECT path FROM segs WHERE status = 'done')", "cited", "files", "segs"))
+def outside_scope(t: Tables) -> DataFrame:
+    return _finding(checks.outside_scope(t.citations, t.segments.where("status = 'done'"), t.files))
+
+
+_ASSIGNED = "asg AS (SELECT segment, path AS span FROM segs), rep AS (SELECT segment, span, class FROM (SELECT s.segment, s.path AS span, CASE WHEN f.quality = 0 THEN 'dropped' WHEN f.toxic = 1 THEN 'reviewed_empty' ELSE 'covered' END AS class FROM segs s JOIN files f USING (path) WHERE f.lang <> 'es' UNION ALL SELECT s.segment, s.path, 'covered' FROM segs s JOIN files f USING (path) WHERE f.toxic = 1 UNION ALL SELECT segment, 'invented/' || path, 'covered' FROM segs JOIN files USING (path) WHERE quality = 0))"
+
+
+def _reported(t: Tables) -> DataFrame:
+    s = t.segments.join(t.files.select("path", "quality", "toxic", "lang"), "path")
+    kind = F.when(F.col("quality") == 0, "dropped").when(F.col("toxic") == 1, "reviewed_empty").otherwise("covered")
+    own = s.where("lang != 'es'").select("segment", F.col("path").alias("span"), kind.alias("class"))
+    again = s.where("toxic = 1").select("segment", F.col("path").alias("span"), F.lit("covered").alias("class"))
+    made = s.where("quality = 0").select("segment", F.concat(F.lit("invented/"), "path").alias("span"), F.lit("covered").alias("class"))
+    return own.unionByName(again).unionByName(made)
+
+
+@query(sql(_ASSIGNED + ", r AS (SELECT segment, span, count(DISTINCT class) AS n FROM rep GROUP BY ALL) SELECT 'error' AS level, CASE WHEN a.span IS NULL THEN 'E_SPAN_UNKNOWN' WHEN n IS NULL THEN 'E_SPAN_UNACCOUNTED' ELSE 'E_SPAN_DOUBLE' END AS code, coalesce(a.segment, r.segment) AS path, coalesce(a.span, r.span) AS message FROM asg a FULL JOIN r ON r.segment = a.segment AND r.span = a.span WHERE a.span IS NULL OR n IS NULL OR n > 1", "segs", "files", recursive=True))
+def span_partition(t: Tables) -> DataFrame:
+    return _finding(checks.span_partition(t.segments.select("segment", F.col("path").alias("span")), _reported(t)))
+
+
+@query(sql(_ASSIGNED + " SELECT DISTINCT 'warning' AS level, 'W_SPAN_COVERAGE_CONTRADICTION' AS code, segment AS path, span AS message FROM rep WHERE class = 'covered' AND span IN (SELECT path FROM segs WHERE status = 'done' AND path NOT IN (SELECT path FROM cited))", "segs", "files", "cited", recursive=True))
+def span_contradiction(t: Tables) -> DataFrame:
+    return _finding(checks.span_contradiction(_reported(t), checks.uncited(t.segments, t.citations)))
+
+
+@query(sql("SELECT 'warning' AS level, 'W_BAD_ANCHOR' AS code, id AS path, c.source AS message FROM cites c JOIN files f ON f.path = split_part(c.source, '#', 1) WHERE c.source LIKE '%#L1-L4' AND len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END < 4", "cites", "files"))
+def anchor_check(t: Tables) -> DataFrame:
+    return _finding(checks.anchors(t.citations, t.files))
+
+
+@query(sql("SELECT 'warning' AS level, 'W_DANGLING_LINK' AS code, src AS path, dst AS message FROM links WHERE dst NOT IN (SELECT id FROM concepts)", "links", "concepts"))
+def dangling_findings(t: Tables) -> DataFrame:
+    return _finding(checks.dangling(t.links, t.concepts))
+
+
+@query(sql("SELECT 'error' AS level, 'E_STALE_FIELDS' AS code, id AS path, 'stale without a date' AS message FROM concepts WHERE stale", "concepts"))
+def stale_fields(t: Tables) -> DataFrame:
+    c = t.concepts.select("id", "stale", F.lit("toxic").alias("stale_reason"), F.create_map(F.lit("stale_since"), F.lit("soon")).alias("meta"))
+    return _finding(checks.stale_fields(c))
+
+
+@query(sql("SELECT 'E_REL_SPAN_DROPPED' AS code, segment || ' ' || path AS message FROM segs JOIN files USING (path) WHERE quality = 0 AND lang <> 'es' UNION ALL SELECT 'E_REL_SPAN_COVERAGE_MISSING', segment FROM (SELECT DISTINCT segment FROM segs WHERE status = 'done') WHERE segment NOT IN (SELECT segment FROM segs JOIN files USING (path) WHERE lang <> 'es' OR toxic = 1 OR quality = 0)", "segs", "files"))
+def release_spans(t: Tables) -> DataFrame:
+    return release.spans_reported(t.segments, _reported(t))
+
+
+@query(sql(f"{_LINES}, {_HITS}, n AS (SELECT 'E_REL_INJECTION' AS code, count(*) AS n FROM f UNION ALL SELECT 'E_REL_SEGMENTS', count(DISTINCT segment) FROM segs WHERE status <> 'done' UNION ALL SELECT 'E_REL_DISSENT_OPEN', count(DISTINCT lang) FROM docs WHERE toxic = 1) SELECT false AS ok, string_agg(code || '=' || n::VARCHAR, ',' ORDER BY code || '=' || n::VARCHAR) AS problems FROM n WHERE n > 0", "risky", "segs", "docs", recursive=True))
+def release_verdict(t: Tables) -> DataFrame:
+    segs = t.segments.select("segment", "status").distinct()
+    jobs = segs.select("segment", F.sha2("segment", 256).alias("digest"))
+    ledger = jobs.select("segment", F.col("digest").alias("job_digest"))
+    states = t.docs.groupBy(F.col("lang").alias("group")).agg(F.when(F.max("toxic") == 1, "open").otherwise("closed").alias("state"))
+    return release.verdict(release.injection_free(reports.injection(t.risky)), release.provenance_complete(segs, jobs, ledger), release.dissent(states))
+
+
+@query(sql("SELECT member || '/' || id || '.md' AS path, body || coalesce(s, '') || coalesce(b, '') AS body FROM members LEFT JOIN (SELECT ref, chr(10) || '## See also' || chr(10) || chr(10) || string_agg(item, chr(10) ORDER BY item) || chr(10) AS s FROM (SELECT DISTINCT ref, '- [/' || replace(o, ':', '/') || '](/' || replace(o, ':', '/') || '.md)' AS item FROM (SELECT src AS ref, dst AS o FROM same UNION ALL SELECT dst, src FROM same)) GROUP BY ref) USING (ref) LEFT JOIN (SELECT ref, chr(10) || '## Constraints (cross-bundle)' || chr(10) || chr(10) || string_agg(item, chr(10) ORDER BY item) || chr(10) AS b FROM (SELECT DISTINCT dst AS ref, '- [/' || replace(src, ':', '/') || '](/' || replace(src, ':', '/') || '.md)' AS item FROM bound WHERE status = 'accepted') GROUP BY ref) USING (ref)", "members", "same", "bound"))
+def export_fusion(t: Tables) -> DataFrame:
+    return bundle.export_fusion(t.members, t.crosswalk)
+
+
+@query(sql("SELECT type, '## ' || type || chr(10) || chr(10) || string_agg('- [' || title || '](' || id || '.md)' || CASE WHEN description <> '' THEN ' — ' || description ELSE '' END, chr(10) ORDER BY id) || chr(10) AS section FROM concepts GROUP BY type", "concepts"))
+def index_markdown(t: Tables) -> DataFrame:
+    return bundle.index_markdown(t.concepts.withColumn("kind", F.lit("final")))
+
+
+@query()
+def crosswalk_fuzzy(t: Tables) -> DataFrame:
+    return federation.candidates_fuzzy(t.members)
