@@ -257,7 +257,7 @@ def archetype(concepts: DataFrame, rules: dict) -> DataFrame:
     for t, enums in rules.get("field_enums", {}).items():
         out += [problem(of(t) & meta[f].isNotNull() & ~meta[f].isin(*map(str, allowed)), "E_FIELD_ENUM", f) for f, allowed in enums.items()]
     for t, names in rules.get("nonempty_sections", {}).items():
-        out += [problem(of(t) & (F.trim(T.section(F.col("body"), s)) == ""), "E_EMPTY_SECTION", s) for s in names]
+        out += [problem(of(t) & ~T.section(F.col("body"), s).rlike(r"\S"), "E_EMPTY_SECTION", s) for s in names]
     own = concepts.where(~F.col("id").startswith("meta/")).select("id", F.explode(F.array_compact(F.array(*out))).alias("p"))
     return own.select(F.lit("error").alias("level"), F.col("p.code").alias("code"), F.col("id").alias("path"), F.col("p.message").alias("message"))
 

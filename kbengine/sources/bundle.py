@@ -91,7 +91,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 def text_of(content: Column) -> Column:
     """UTF-8 text with its line ends as line feeds."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), r"\r\n?", "\n")
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), r"\r\n?", "\n")
 
 
 def kind(path: Column) -> Column:
