@@ -118,16 +118,19 @@ class Block:
         by_size: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for item, text in items:
             words = words_of(text)
-            h = known.template(words)
             k = min(WINDOW, len(words))
-            at, w = template_windows(h, k) if k else (np.empty(0, np.int64), np.empty(0, np.uint64))
-            if not len(w):
-                continue
-            own = by_size.setdefault(k, ([], []))
-            distinct = np.unique(w)
-            own[0].append(distinct)
-            own[1].append(np.full(len(distinct), len(self.items)))
-            self.items.append((item, words, h, at, w))
+            h = known.template(words)
+            # a text in capitals doesn't tell names: for those the item is known with its names as words too
+            plain = known.template([x.lower() for x in words])
+            for h in (h,) if np.array_equal(h, plain) else (h, plain):
+                at, w = template_windows(h, k) if k else (np.empty(0, np.int64), np.empty(0, np.uint64))
+                if not len(w):
+                    continue
+                own = by_size.setdefault(k, ([], []))
+                distinct = np.unique(w)
+                own[0].append(distinct)
+                own[1].append(np.full(len(distinct), len(self.items)))
+                self.items.append((item, words, h, at, w))
         self.tables = []
         for k, (w, i) in sorted(by_size.items()):
             w, i = np.concatenate(w), np.concatenate(i)

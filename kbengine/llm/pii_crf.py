@@ -195,14 +195,14 @@ def train(batch: list[str], steps: int = 300) -> Model:
     # the potentials of edges are how much more often a pair of labels occurs than by chance
     share = (np.bincount(g.label, minlength=n) + 1.0) / (len(g.label) + n)
 
-    def pairs(edges: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    def pairs(edges: np.ndarray, prior: np.ndarray, most: float) -> np.ndarray:
         c = prior.copy()
         np.add.at(c, (g.label[edges[:, 0]], g.label[edges[:, 1]]), 1)
-        return np.clip(np.log(c / c.sum()) - np.log(np.outer(share, share)), -3, 3)
+        return np.clip(np.log(c / c.sum()) - np.log(np.outer(share, share)), -most, most)
 
-    chain = pairs(g.chain, np.outer(share, share) * 20)
+    chain = pairs(g.chain, np.outer(share, share) * 20, 3.0)
     # agreement is what skip edges are for: their prior says that similar tokens are of one kind
-    skip = pairs(g.skip, np.diag(share) * 20 + np.outer(share, share))
+    skip = pairs(g.skip, np.diag(share) * 100 + np.outer(share, share), 6.0)
     if len(g.label):
         y = np.eye(n)[g.label]
         # an even weight for each kind met, so that rare kinds count
