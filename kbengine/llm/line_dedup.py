@@ -100,7 +100,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "at", "body"])
 
     bodies = map_arrow(asked, pick, "doc_id long, at long, body binary").dropDuplicates(["doc_id", "at"])
-    rest = places.where(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at"))
+    rest = places.where(repeats.LATER).select("doc_id", "at", "first_id", "first_at")
     firsts = bodies.select(F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"), F.col("body").alias("first_body"))
     same = rest.join(bodies, ["doc_id", "at"]).join(firsts, ["first_id", "first_at"]).where(F.col("body") == F.col("first_body"))
     return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(same.select("doc_id", "at"))), cut_out)

@@ -6,9 +6,10 @@ hash, so repeated rows are one document and rows that share an id only are two.
 The first place of a unit is that of the least id (null last), then hash, then
 number.
 
-Inside a batch, all but the first place of a unit are known to be later ones;
-only first places go through the exchange by hash. So a unit that a third of all
-rows hold sends one row a batch, not one a document.
+Inside a batch, all but the first place of a unit are known to be later ones.
+They carry that first place and are dealt evenly; only first places are dealt by
+hash. So a unit that a third of all rows hold sends one row a batch to its task,
+not one a document.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, texts
+from .common import map_arrow, mix, texts
 
 IDX = 1 << 31
 LAST = (1 << 63) - 1
 
-UNITS = "h1 long, h2 long, doc_id long, at long, later boolean"
+UNITS = "h1 long, h2 long, doc_id long, at long, first_id long, first_at long, more boolean"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def units(docs: DataFrame, cut: Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
     """Every unit's place; ``cut`` gives numbers and two hashes of a text's units.
 
-    ``later``: another place of the batch comes first.
+    ``first_id`` and ``first_at``: the place of the batch that comes first, null
+    for that place itself; ``more``: whether others of the batch follow it.
     """
 
     def run(batches):
@@ -66,17 +68,28 @@ def units(docs: DataFrame, cut: Callable[[str], tuple[np.ndarray, np.ndarray, np
             again[1:] = same[1:] & (at[1:] == at[:-1]) & (doc[1:] == doc[:-1])
             keep = ~again
             start = np.maximum.accumulate(np.where(~same, np.arange(len(row)), 0))
-            later = (np.arange(len(row)) > start) & keep
-            yield pa.record_batch([pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(doc[keep]).cast(pa.int64()), pa.array(at[keep]), pa.array(later[keep])], names=["h1", "h2", "doc_id", "at", "later"])
+            n = np.arange(len(row))
+            later = (n > start) & keep
+            more = np.zeros(len(row), bool)
+            more[start[later]] = True
+            first_id, first_at = doc[start], at[start]
+            h1 = np.where(later, mix(at.view(np.uint64) ^ mix(doc.view(np.uint64))), h1)
+            cols = [h1.view(np.int64), h2.view(np.int64), doc, at]
+            yield pa.record_batch([*(pa.array(c[keep]) for c in cols), *(pa.array(c[keep], mask=~later[keep]) for c in (first_id, first_at)), pa.array(more[keep])], names=["h1", "h2", "doc_id", "at", "first_id", "first_at", "more"])
 
     return map_arrow(docs.select("doc_id", "text", "__h"), run, UNITS)
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """Units with ``first``, the first place of the unit anywhere, and ``many``, whether there is another place."""
+    """doc_id, at, first_id, first_at: units with a place that comes before, or their own where none does, and ``many``: whether there is another place."""
     own = Window.partitionBy("h1", "h2")
-    place = F.struct("doc_id", "at")
-    return found.withColumns({"first": F.min(place).over(own), "many": F.count(F.lit(1)).over(own) > 1})
+    first = F.coalesce(F.when(F.col("first_id").isNotNull(), F.struct(F.col("first_id").alias("doc_id"), F.col("first_at").alias("at"))), F.min(F.struct("doc_id", "at")).over(own))
+    many = F.col("first_id").isNotNull() | F.col("more") | (F.count(F.lit(1)).over(own) > 1)
+    return found.withColumns({"first": first, "many": many}).select("doc_id", "at", F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at"), "many")
+
+
+#: A unit at another place than its first, in SQL.
+LATER = "doc_id != first_id OR at != first_at"
 
 
 def by_document(places: DataFrame) -> DataFrame:

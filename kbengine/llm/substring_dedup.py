@@ -18,7 +18,6 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import repeats
 from .common import WORD, WordHash, mix, words_of
@@ -31,7 +30,7 @@ PIECE = 12
 
 def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     """Where each sentence starts, with the text's end after the last, and their words."""
-    starts, words, = [0], []
+    starts, words = [0], []
     for m in SENTENCE.finditer(text):
         own = words_of(m[0])
         if not own:  # joins the sentence before
@@ -120,6 +119,5 @@ def cut_out(text: str, marks: list[int]) -> tuple[str, int, str]:
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated spans, n_removed (sentences) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    places = repeats.placed(repeats.units(own, _Cut()))
-    rest = places.where(F.col("later") | (F.struct("doc_id", "at") != F.col("first")))
+    rest = repeats.placed(repeats.units(own, _Cut())).where(repeats.LATER)
     return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(rest)), cut_out)
