@@ -31,7 +31,7 @@ WHITE = " \t\n\v\f\r"
 
 
 def chunks(text: str) -> list[str]:
-    """The text in chunks of whole lines; they join to the text."""
+    """The text in chunks of whole lines, two or more where there are as many; they join to the text."""
     lines = _lines(text)
     if len(lines) < 2 * MIN_LINES:
         return [text] if text else []
@@ -41,10 +41,12 @@ def chunks(text: str) -> list[str]:
         rolling[k:] += mix(h[:-k] + np.uint64(k))
     ends = np.flatnonzero(mix(rolling) % np.uint64(EVERY) == 0) + 1
     out, at = [], 0
-    for e in [*ends.tolist(), len(lines)]:
-        if e - at >= MIN_LINES or (e == len(lines) and e > at):
+    for e in ends.tolist():
+        if e - at >= MIN_LINES and (len(lines) - e >= MIN_LINES or e == len(lines)):
             out.append("".join(lines[at:e]))
             at = e
+    if at < len(lines):
+        out.append("".join(lines[at:]))
     return out
 
 
