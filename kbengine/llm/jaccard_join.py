@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHash, map_arrow, mix, windows, written
+from .common import WordHash, map_arrow, mix, sampled, windows, written
 
 K = 5
 #: Elements of a partition on average in the largest sets of a band.
@@ -80,6 +80,32 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities: bit i tells whether an odd number of elements fall on it; 2 to 4 bits an element.
+
+    Two sets differ in at least as many elements as their sketches differ in bits.
+    """
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ np.uint64(0x51ED270B)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: bytes, size: int) -> np.ndarray:
+    """A sketch as 64-bit words, folded to ``size`` bytes."""
+    w = np.frombuffer(x, np.uint64)
+    while len(w) * 8 > size:
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return w
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """False where sizes and sketches already tell that two sets aren't similar enough."""
+    if 100 * min(n, m) < 80 * max(n, m):
+        return False
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= (n + m) // 9
+
+
 def _partitions(top: int) -> int:
     return int(np.ceil(top / EACH)) + 2
 
@@ -137,20 +163,21 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n, node, check: a row a document; no node without shingles."""
+    """doc_id, h, n, node, check, sketch: a row a document; no node without shingles."""
 
     def run(batches):
         for b in batches:
-            n, node, check = [], [], []
+            n, node, check, sketches = [], [], [], []
             for t in b["text"].to_pylist():
                 s = shingles(t)
                 x, y = fingerprint(s) if len(s) else (None, None)
                 n.append(len(s))
                 node.append(x)
                 check.append(y)
-            yield pa.record_batch([b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())], names=["doc_id", "h", "n", "node", "check"])
+                sketches.append(sketch(s) if len(s) >= 4 else None)
+            yield pa.record_batch([b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "h", "n", "node", "check", "sketch"])
 
-    return map_arrow(docs.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, n long, node long, check long")
+    return map_arrow(docs.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, n long, node long, check long, sketch binary")
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -161,7 +188,7 @@ def _common(docs: DataFrame) -> np.ndarray:
             own = [shingles(t) for t in b["text"].to_pylist()]
             yield pa.record_batch([pa.array([x.tobytes() for x in own], pa.binary())], names=["s"])
 
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_ROWS)
+    sample = sampled(docs, SAMPLE_ROWS, "doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
     sets = {r.s for r in map_arrow(sample, run, "s binary").toLocalIterator() if r.s}
     if not sets:
         return np.empty(0, np.uint64)
@@ -195,26 +222,60 @@ def _signed(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return map_arrow(docs.select("text"), run, "sig long, node long")
 
 
+#: Bits of the map of wanted documents; beyond some ten million of them it lets others pass as well.
+MAP_BITS = 1 << 24
+
+
+def _map(ids: DataFrame) -> bytes:
+    """A bitmap of hashed ids, of fixed size: it saves the exchange of texts that nobody asks for."""
+    at = F.xxhash64("doc_id").bitwiseAND(MAP_BITS - 1)
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r.w] = r.bits
+    return out.tobytes()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, s: the sets of the nodes that ``wanted`` has with a document's id."""
-    w = wanted.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
+    """node, s: the sets of the nodes that ``wanted`` has, each with a document's id."""
+    shared = docs.sparkSession.sparkContext.broadcast(_map(wanted))
 
     def run(batches):
+        bits = np.frombuffer(shared.value, np.uint64)
         for b in batches:
+            at = b["at"].to_numpy()
+            some = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             nodes, own = [], []
-            for t, x in zip(b["text"].to_pylist(), b["__node"].to_pylist(), strict=True):
+            for t in b["text"].take(pa.array(some)).to_pylist():
                 s = shingles(t)
-                if len(s) and fingerprint(s)[0] == x:  # not another text of the same id
-                    nodes.append(x)
+                if len(s) >= 4:
+                    nodes.append(fingerprint(s)[0])
                     own.append(s.tobytes())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(own, pa.binary())], names=["node", "s"])
 
-    met = docs.join(w, docs["doc_id"].eqNullSafe(w["__id"])).select("text", "__node")
-    return map_arrow(met, run, "node long, s binary").dropDuplicates(["node"])
+    own = map_arrow(docs.select(F.xxhash64("doc_id").bitwiseAND(MAP_BITS - 1).alias("at"), "text"), run, "node long, s binary")
+    return own.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _close(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of the pairs a, b that sizes and sketches leave."""
+    of = lambda x: named.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
 
+    def run(batches):
+        for b in batches:
+            ok = [may_link(*x) for x in zip(b["sa"].to_pylist(), b["na"].to_pylist(), b["sb"].to_pylist(), b["nb"].to_pylist(), strict=True)]
+            keep = b.filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch([keep["a"], keep["b"]], names=["a", "b"])
+
+    met = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "na", "sb", "nb")
+    return map_arrow(met, run, "a long, b long")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b that are similar enough."""
+
+def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs a, b that are similar enough, by their whole sets."""
+    pairs = written(pairs, "close")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(docs, written(nodes.join(named, "node").select("node", "doc_id"), "wanted"))
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
 
@@ -224,7 +285,62 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.record_batch([keep["a"], keep["b"]], names=["a", "b"])
 
-    return map_arrow(x.select("a", "b", "sa", "sb"), run, "a long, b long")
+    return written(map_arrow(x.select("a", "b", "sa", "sb"), run, "a long, b long"), "verified")
+
+
+#: Rows of a group that are compared in one go; larger groups are compared in blocks.
+GROUP = 2048
+
+
+def _between(rest: DataFrame, named: DataFrame) -> DataFrame:
+    """a, b: pairs of a group with different labels that sizes and sketches leave.
+
+    A group (one signature) goes to tasks as pairs of blocks of ``GROUP`` rows,
+    where only close pairs come out.
+    """
+    sizes = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    own = rest.join(named.select("node", "n", "sketch"), "node").join(sizes, "sig")
+    own = own.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("sig", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "label", "n", "sketch")
+
+    def run(batches):
+        held = None
+        for b in batches:
+            part = {c: b[c].to_numpy() if c != "sketch" else np.array(b[c].to_pylist(), object) for c in b.schema.names}
+            if held:
+                part = {c: np.concatenate([held[c], v]) for c, v in part.items()}
+            new = np.flatnonzero(np.any([np.diff(part[c]) != 0 for c in ("sig", "x", "y")], axis=0)) + 1
+            edges = [0, *new.tolist()]
+            yield _pairs([{c: v[i:j] for c, v in part.items()} for i, j in zip(edges, edges[1:], strict=False)])
+            held = {c: v[edges[-1] :] for c, v in part.items()}
+        if held:
+            yield _pairs([held])
+
+    dealt = own.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "node")
+    return map_arrow(dealt, run, "a long, b long").distinct()
+
+
+def _pairs(groups: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    """The close pairs of different labels within groups, or between their two blocks; nodes are in order."""
+    out = [np.empty((0, 2), np.int64)]
+    for g in groups:
+        node, label, n = g["node"], g["label"], g["n"]
+        if len(node) < 2 or (label == label[0]).all():
+            continue
+        side = g["i"] == g["x"]
+        one = g["x"][0] == g["y"][0]
+        least = min(map(len, g["sketch"]))
+        words = np.stack([folded(x, least) for x in g["sketch"]])
+        at = np.arange(len(node))
+        for k in np.flatnonzero(side):
+            met = (label != label[k]) & (100 * np.minimum(n, n[k]) >= 80 * np.maximum(n, n[k]))
+            met &= at > k if one else ~side
+            met = np.flatnonzero(met)
+            if len(met):
+                met = met[np.bitwise_count(words[met] ^ words[k]).sum(1) <= (n[met] + n[k]) // 9]
+                out.append(np.stack([np.minimum(node[met], node[k]), np.maximum(node[met], node[k])], axis=1))
+    both = np.unique(np.concatenate(out), axis=0)
+    return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,27 +380,35 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = written(_nodes(docs), "nodes")
     # two different sets with one name would be joined wrongly: stop instead
     named = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two sets with one fingerprint"))).alias("clash")
-    )
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
+        F.when((F.min("check") != F.max("check")) | (F.min("n") != F.max("n")), F.raise_error(F.lit("two sets with one fingerprint"))).alias("clash"),
+    )
+    named = written(named, "named")
     own = Window.partitionBy("sig")
     groups = _signed(docs, _common(docs)).withColumns({"least": F.min("node").over(own), "most": F.max("node").over(own)})
     groups = written(groups.where(F.col("least") != F.col("most")).select("sig", "least", "node").distinct(), "groups")
-    wanted = groups.select("node").distinct()
-    sets = written(_sets(docs, wanted.join(named, "node").select("node", "doc_id")), "sets")
 
-    star = groups.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a"))
-    links = written(_verified(star.select("a", "b"), sets), "verified")
+    # each node against the least of its groups, one round for the least of these, then the rest
+    star = groups.where(F.col("node") != F.col("least")).select(F.col("node").alias("b"), F.col("least").alias("a")).distinct()
+    close = written(_close(star, named), "star")
+    tried = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    links = _verified(docs, named, tried)
     labels = components(links)
 
-    # groups that span several components: every pair of different components in them is verified
+    # groups that span several components: every pair of different components in them that may be similar is verified.
+    # Many signatures have the same members: one of them is looked at.
     of = groups.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    spans = of.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("sig")
-    rest = written(of.join(spans, "sig"), "rest")
-    left = rest.select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = rest.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    more = left.join(right, "sig").where("a < b AND la != lb").select("a", "b").distinct()
-    links = links.unionByName(written(_verified(more, sets), "verified"))
-    labels = components(links)
+    spans = of.groupBy("sig").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"),
+        F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"),
+    )
+    spans = written(spans.where("x != y").groupBy("c", "a", "b", "u", "v").agg(F.min("sig").alias("sig")), "spans")
+    larger = _between(written(of.join(spans.where("c > 2").select("sig"), "sig"), "rest"), named)
+    more = spans.where("c = 2").select("a", "b").unionByName(larger).distinct().join(tried, ["a", "b"], "left_anti")
+    more = written(_close(more, named), "more")
+    if not more.isEmpty():
+        links = links.unionByName(_verified(docs, named, more))
+        labels = components(links)
 
     found = nodes.join(labels, "node", "left").select("doc_id", "h", "n", F.coalesce("label", "node").alias("label"))
     least = named.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), "doc_id", "clash").groupBy("label").agg(F.min("doc_id").alias("least"), F.max("clash").alias("clash"))
