@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, sampled, texts
 
 # Fixed patterns. They match from the leftmost possible place; possessive repeats keep long runs linear.
 KINDS = ("email", "ip", "card", "phone")
@@ -280,7 +280,7 @@ def said(spans: list[tuple[int, int, int]]) -> str:
 def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 20_000) -> Model:
     """Train on at most ``sample_rows`` texts with a digit or an @, of at most ``sample_chars`` characters, chosen by a hash of the id."""
     own = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= sample_chars))
-    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows).select("text").collect()
+    rows = sampled(own, sample_rows, "doc_id", "text").select("text").collect()
     return train(sorted(r.text for r in rows))
 
 

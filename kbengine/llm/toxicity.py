@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, texts
+from .common import column, map_arrow, sampled, texts
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
@@ -169,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_char
     so that its size is bounded; scoring takes every text whole.
     """
     own = labels.select("doc_id", column(labels, "toxic", "int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = sampled(own, sample_rows, "doc_id")
     rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(own), "doc_id").select("text", "toxic").limit(2 * sample_rows).collect()
     return train(sorted((r.text, r.toxic) for r in rows))
 
