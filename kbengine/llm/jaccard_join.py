@@ -15,8 +15,9 @@ order, so that passages which many documents share hardly become signatures;
 the sample changes the work, never the result.
 
 Equal sets are one node. Candidates that share a signature are verified by
-their whole sets, first each against the least node of its group; only groups
-that then still span several components are looked at in pairs of components.
+their whole sets: first each against the least node of its group, then neighbours
+in groups that still span several components, by size and by hash; at last every
+pair of different components in what spans several even then, in blocks.
 
 Defined results: without words or text a document is empty, has no shingles and
 is linked with nothing (its component is its own id); with fewer than five words
@@ -292,6 +293,17 @@ def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
 GROUP = 2048
 
 
+def _spanning(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, node, label: the rows of groups with several labels. Many signatures have the same members: one of them stays."""
+    of = groups.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    spans = of.groupBy("sig").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"),
+        F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"),
+    )
+    spans = spans.where("x != y").groupBy("c", "a", "b", "u", "v").agg(F.min("sig").alias("sig"))
+    return written(of.join(spans.select("sig"), "sig"), "rest")
+
+
 def _between(rest: DataFrame, named: DataFrame) -> DataFrame:
     """a, b: pairs of a group with different labels that sizes and sketches leave.
 
@@ -395,17 +407,20 @@ def classes(docs: DataFrame) -> DataFrame:
     links = _verified(docs, named, tried)
     labels = components(links)
 
-    # groups that span several components: every pair of different components in them that may be similar is verified.
-    # Many signatures have the same members: one of them is looked at.
-    of = groups.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    spans = of.groupBy("sig").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"),
-        F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"),
-    )
-    spans = written(spans.where("x != y").groupBy("c", "a", "b", "u", "v").agg(F.min("sig").alias("sig")), "spans")
-    larger = _between(written(of.join(spans.where("c > 2").select("sig"), "sig"), "rest"), named)
-    more = spans.where("c = 2").select("a", "b").unionByName(larger).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(_close(more, named), "more")
+    # Neighbours in a group by size, then by hash, join what the star has left apart: a linear number of pairs a round.
+    for order in ((F.col("n"), F.col("node")), (F.xxhash64("node"),)):
+        rest = _spanning(groups, labels).join(named.select("node", "n"), "node")
+        by = Window.partitionBy("sig").orderBy(*order)
+        chain = rest.select("node", "label", F.lag("node").over(by).alias("other"), F.lag("label").over(by).alias("theirs")).where("label != theirs")
+        chain = chain.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        chain = written(_close(chain, named), "chain")
+        if not chain.isEmpty():
+            links = links.unionByName(_verified(docs, named, chain))
+            labels = components(links)
+            tried = tried.unionByName(chain)
+    # what still spans several components: every pair of different components that may be similar is verified
+    more = _between(_spanning(groups, labels), named).join(tried, ["a", "b"], "left_anti")
+    more = written(more, "more")
     if not more.isEmpty():
         links = links.unionByName(_verified(docs, named, more))
         labels = components(links)
