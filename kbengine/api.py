@@ -73,10 +73,10 @@ class Bundle:
 
     def snapshot(self) -> None:
         """Record the corpus as it is: hashes of all files, as a table."""
-        self.corpus().select("path", "sha256").write.mode("overwrite").parquet(f"{self.root}/.okb/manifest")
+        self.corpus().select("path", "sha256").write.mode("overwrite").parquet(f"{self.root}/.cache/manifest")
 
     def manifest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/.okb/manifest")
+        return self.spark.read.parquet(f"{self.root}/.cache/manifest")
 
     def diff(self) -> DataFrame:
         return corpus.diff(self.manifest(), self.corpus())

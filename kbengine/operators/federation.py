@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .graph import components
-from .retrieval import bm25
 
 RRF = 60
 
@@ -108,5 +107,3 @@ def candidates_fuzzy(concepts: DataFrame, least: float = 0.85) -> DataFrame:
     pairs = pairs.where(2 * F.least(F.length("t"), F.length("t2")) >= least * (F.length("t") + F.length("t2")))
     return pairs.where(T.similar("t", "t2") >= least).select("src", "dst").join(candidates_exact(concepts), ["src", "dst"], "left_anti")
 
-
-__all__ = [n for n in dir() if n[0].islower()] + ["bm25"]
