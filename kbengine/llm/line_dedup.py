@@ -1,10 +1,15 @@
-"""Removing repeated multi-line chunks with content-defined boundaries.
+"""Removing repeated runs of lines.
 
-Lines are hashed; a rolling hash over the last ``SPAN`` line hashes ends a
-chunk where its low bits are zero, so an inserted line moves the boundaries
-near it only. A chunk of two or more lines with words that occurs anywhere
-before is removed, once its bytes have been compared with those of the first
-place.
+``dedup_runs`` removes every run of two or more lines with words that occurs
+anywhere before, in whatever context: each two neighbouring lines with words
+are hashed with the white lines between them, and a pair that occurs before
+goes once its bytes have been compared with those of the first place. A longer
+run is the union of its pairs.
+
+``dedup`` removes whole content-defined chunks only: a rolling hash over the
+last ``SPAN`` line hashes ends a chunk where its low bits are zero, so an
+inserted line moves the boundaries near it only. Runs within which no two
+common boundaries fall stay; the registered queries use ``dedup_runs``.
 
 Defined results: a null text stays null, an empty one empty; repeated rows
 (same id, same text) are one document and end up alike; rows that share only an
@@ -84,21 +89,74 @@ def cut_out(text: str, marks: list[int]) -> tuple[str, int, str]:
     return "".join(kept), len(gone), ",".join(spans)
 
 
+def worded(text: str) -> list[tuple[int, int]]:
+    """Where each line with words starts and ends, without its line feed."""
+    out, at = [], 0
+    for x in text.split("\n"):
+        if x.strip(WHITE):
+            out.append((at, at + len(x)))
+        at += len(x) + 1
+    return out
+
+
+def cut_pairs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = worded(text)
+    digests = [xxhash.xxh3_128_intdigest(text[a[0] : b[1]].encode()) for a, b in zip(at, at[1:])]
+    half = (1 << 64) - 1
+    return np.arange(len(digests)), np.array([d & half for d in digests], np.uint64), np.array([d >> 64 for d in digests], np.uint64)
+
+
+def cut_out_pairs(text: str, marks: list[int]) -> tuple[str, int, str]:
+    """Marked pairs go; white lines at a run's edges stay, unless no line with words is left."""
+    at = worded(text)
+    gone = {m for i in marks for m in (i, i + 1)}
+    if len(gone) == len(at):
+        return "", len(gone), f"0:{len(text)}"
+    runs: list[list[int]] = []
+    for i in marks:
+        a, b = at[i][0], min(at[i + 1][1] + 1, len(text))
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    edges = [0, *(x for r in runs for x in r), len(text)]
+    kept = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return "".join(kept), len(gone), ",".join(f"{a}:{b}" for a, b in runs)
+
+
+def chunk_bodies(text: str, marks: list[int]) -> list[bytes]:
+    parts = chunks(text)
+    return [_body(parts[i]).encode() for i in marks]
+
+
+def pair_bodies(text: str, marks: list[int]) -> list[bytes]:
+    at = worded(text)
+    return [text[at[i][0] : at[i + 1][1]].encode() for i in marks]
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated chunks, n_removed (chunks) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    places = repeats.placed(repeats.units(own, cut)).where("many")
-    asked = repeats.with_marks(own.select("doc_id", "text", "__h"), repeats.by_document(places), "inner")
+    return _removed(own, repeats.placed(repeats.units(own, cut)).where("many"), chunk_bodies, cut_out)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, texts without repeated runs of lines, n_removed (lines with words) and removed (start:end, code points)."""
+    own = repeats.keyed(docs)
+    return _removed(own, repeats.placed(repeats.units(own, cut_pairs)).where("many"), pair_bodies, cut_out_pairs)
+
+
+def _removed(own: DataFrame, places: DataFrame, bodies_of, cut_out) -> DataFrame:
+    # with all columns, as below, so that the texts are exchanged once for both joins
+    asked = repeats.with_marks(own, repeats.by_document(places), "inner")
 
     def pick(batches):
         for b in batches:
             ids, ats, bodies = [], [], []
             for d, h, t, marks in zip(b["doc_id"].to_pylist(), b["__h"].to_pylist(), texts(b["text"]), b["__idx"].to_pylist(), strict=True):
-                parts = chunks(t)
-                for i in marks:
-                    ids.append(repeats.LAST if d is None else d)
-                    ats.append(h * repeats.IDX + i)
-                    bodies.append(_body(parts[i]).encode())
+                ids += [repeats.LAST if d is None else d] * len(marks)
+                ats += [h * repeats.IDX + i for i in marks]
+                bodies += bodies_of(t, marks)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "at", "body"])
 
     bodies = map_arrow(asked, pick, "doc_id long, at long, body binary").dropDuplicates(["doc_id", "at"])

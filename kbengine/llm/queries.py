@@ -61,7 +61,7 @@ def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed", "text")
+    return line_dedup.dedup_runs(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed", "text")
 
 
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
