@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed", "text")
+    return substring_dedup.dedup_runs(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed", "text")
 
 
 def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

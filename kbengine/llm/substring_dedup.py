@@ -1,8 +1,12 @@
 """Removing repeated passages by sliding sentence spans.
 
-From every sentence starts one span: the shortest run of two or more sentences
-with ``MIN_WORDS`` words or more. Spans are hashed and joined over all
-documents; a sentence covered by a span that occurs before is removed. A long
+From every sentence starts a span, and at every sentence ends one: the shortest
+run of two or more sentences with ``MIN_WORDS`` words or more. Together they
+cover every sentence of any repeated run of so many sentences and words, up to
+its last. A text of several sentences with fewer words is one span. Spans are
+hashed and joined over all documents; a sentence covered by a span that occurs
+before is removed. ``dedup`` knows only the spans that start at a sentence;
+the registered query uses ``dedup_runs``. A long
 sentence counts as several, cut every ``PIECE`` words from its start, so that a
 passage of one long sentence has spans as well.
 
@@ -59,12 +63,27 @@ def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ok, ends[ok]
 
 
-def cutter():
+def runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for spans from and up to every sentence, each once, by place; a text with too few words for one is a span."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    n = len(lengths)
+    if n >= 2 and total[-1] < MIN_WORDS:
+        return np.array([0]), np.array([n])
+    first, end = spans(lengths)
+    last = np.arange(n) + 1
+    start = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1, last - 2)
+    ok = start >= 0
+    both = np.unique(np.concatenate([first, start[ok]]) * (n + 1) + np.concatenate([end, last[ok]]))
+    return both // (n + 1), both % (n + 1)
+
+
+def cutter(of=spans):
+    """Units of a text; spans from sentences are numbered by their first, others in order."""
     known = WordHash()
 
     def cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _, words = sentences(text)
-        first, end = spans(np.array([len(w) for w in words], np.int64))
+        first, end = of(np.array([len(w) for w in words], np.int64))
         if not len(first):
             none = np.empty(0, np.uint64)
             return first, none, none
@@ -79,7 +98,7 @@ def cutter():
             back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), np.uint64(pow(int(seed), -1, 1 << 64)))]), dtype=np.uint64)
             a, b = total[first], total[end]
             out.append(mix((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64)))
-        return first, out[0], out[1]
+        return first if of is spans else np.arange(len(first)), out[0], out[1]
 
     return cut
 
@@ -87,25 +106,35 @@ def cutter():
 class _Cut:
     """Made anew in each worker, with its own memory of word hashes."""
 
-    def __init__(self):
-        self.own = None
+    def __init__(self, of=spans):
+        self.of, self.own = of, None
 
     def __call__(self, text):
         if self.own is None:
-            self.own = cutter()
+            self.own = cutter(self.of)
         return self.own(text)
 
     def __reduce__(self):
-        return (_Cut, ())
+        return (_Cut, (self.of,))
 
 
 def cut_out(text: str, marks: list[int]) -> tuple[str, int, str]:
     starts, words = sentences(text)
     first, end = spans(np.array([len(w) for w in words], np.int64))
     until = dict(zip(first.tolist(), end.tolist(), strict=True))
-    gone = np.zeros(len(words), bool)
-    for i in marks:
-        gone[i : until[i]] = True
+    return _without(text, starts, [(i, until[i]) for i in marks])
+
+
+def cut_out_runs(text: str, marks: list[int]) -> tuple[str, int, str]:
+    starts, words = sentences(text)
+    first, end = runs(np.array([len(w) for w in words], np.int64))
+    return _without(text, starts, [(int(first[i]), int(end[i])) for i in marks])
+
+
+def _without(text: str, starts: list[int], repeated: list[tuple[int, int]]) -> tuple[str, int, str]:
+    gone = np.zeros(len(starts) - 1, bool)
+    for a, b in repeated:
+        gone[a:b] = True
     kept, where, at = [], [], 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
     for a, b in edges.tolist():
@@ -118,6 +147,15 @@ def cut_out(text: str, marks: list[int]) -> tuple[str, int, str]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated spans, n_removed (sentences) and removed (start:end, code points)."""
+    return _removed(docs, spans, cut_out)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """The same with the spans of ``runs``: repeated runs of sentences go up to their last."""
+    return _removed(docs, runs, cut_out_runs)
+
+
+def _removed(docs: DataFrame, of, out) -> DataFrame:
     own = repeats.keyed(docs)
-    rest = repeats.placed(repeats.units(own, _Cut())).where(repeats.LATER)
-    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(rest)), cut_out)
+    rest = repeats.placed(repeats.units(own, _Cut(of))).where(repeats.LATER)
+    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(rest)), out)

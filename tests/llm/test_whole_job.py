@@ -45,3 +45,36 @@ def test_runs_of_lines_in_other_contexts(spark, tmp_path):
             t = t[:a] + t[b:]
         assert t == got[i].text
     assert got[rows[-3][0]].text == ""
+
+
+def sentences_left(sents):
+    """By brute force: numbers of the sentences in no repeated run of two or more with 20 words, for documents of plain sentences."""
+    seen, left = set(), []
+    for own in sents:
+        gone, found = set(), set()
+        for a in range(len(own)):
+            for b in range(a + 2, len(own) + 1):
+                run = tuple(own[a:b])
+                if sum(len(x.split()) for x in run) >= 20 or (a == 0 and b == len(own)):
+                    if run in seen or run in found:
+                        gone |= set(range(a, b))
+                    found.add(run)
+        seen |= found
+        left.append([x for k, x in enumerate(own) if k not in gone])
+    return left
+
+
+def test_runs_of_sentences_go_up_to_their_last(spark, tmp_path):
+    rng = random.Random(7)
+    word = lambda: "w" + str(rng.random())[2:9]
+    new = lambda sizes: [" ".join(word() for _ in range(n)) + "." for n in sizes]
+    some = lambda: new(rng.choices(range(1, 25), k=rng.randint(0, 4)))
+    docs = []
+    for sizes in ([10, 10, 10, 5], [5, 10, 10, 10], [4, 4, 4], [24, 1, 1], [10, 4, 10], [3, 19, 2, 7, 1, 1]):
+        block = new(sizes)
+        docs += [block, block, [*some(), *block, *some()], [*some(), *block, *some()]]
+    rows = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    got = {r.doc_id: r.text for r in queries.op1_substring_dedup(spark, stored(spark, tmp_path, rows)).collect()}
+    for k, left in enumerate(sentences_left(docs)):
+        assert got[k].split() == " ".join(left).split()
+    assert all(got[k] == "" for k in range(1, len(docs), 4))
