@@ -7,8 +7,11 @@ its last. A text of several sentences with fewer words is one span. Spans are
 hashed and joined over all documents; a sentence covered by a span that occurs
 before is removed. ``dedup`` knows only the spans that start at a sentence;
 the registered query uses ``dedup_runs``. A long
-sentence counts as several, cut every ``PIECE`` words from its start, so that a
-passage of one long sentence has spans as well.
+sentence counts as several, cut after the words that have the least hash of
+some ``PIECE`` neighbouring ones. So a passage of a long sentence is cut alike
+wherever it stands, in pieces of at most ``PIECE`` words, but for its words
+before its first common cut and after its last, fewer than ``PIECE`` each; those
+edges stay.
 
 Defined results: a null text stays null, an empty one empty; repeated rows
 (same id, same text) are one document and end up alike; rows that share only an
@@ -21,6 +24,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import repeats
@@ -43,9 +47,10 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
             continue
         if len(own) > LONG:
             at = [w.start() for w in WORD.finditer(text, m.start(), m.end())]
-            for i in range(0, len(own), PIECE):
-                words.append(own[i : i + PIECE])
-                starts.append(at[i + PIECE] if i + PIECE < len(own) else m.end())
+            edges = cuts(own)
+            for a, b in zip([0, *edges], [*edges, len(own)]):
+                words.append(own[a:b])
+                starts.append(at[b] if b < len(own) else m.end())
         else:
             words.append(own)
             starts.append(m.end())
@@ -54,6 +59,14 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     return starts, words
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Where a long sentence is cut: behind the words of least hash among any ``PIECE`` neighbours."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+    near = np.lib.stride_tricks.sliding_window_view(h, PIECE)
+    at = np.unique(near.argmin(1) + np.arange(len(near))) + 1
+    return at[at < len(words)].tolist()
+
+
 def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First sentences of spans, and the sentences after their last."""
     total = np.concatenate([[0], np.cumsum(lengths)])

@@ -78,3 +78,23 @@ def test_runs_of_sentences_go_up_to_their_last(spark, tmp_path):
     for k, left in enumerate(sentences_left(docs)):
         assert got[k].split() == " ".join(left).split()
     assert all(got[k] == "" for k in range(1, len(docs), 4))
+
+
+def test_unpunctuated_passages_behind_lead_ins(spark, tmp_path):
+    rng = random.Random(11)
+    new = lambda n: ["w" + str(rng.random())[2:9] for _ in range(n)]
+    rows, passages = [], {}
+    for lead in range(1, 12):
+        passage = new(51)
+        rows.append((len(rows), " ".join([*new(3), *passage, *new(2)])))
+        passages[len(rows)] = passage
+        rows.append((len(rows), " ".join([*new(3 + lead), *passage, *new(2)])))
+    got = {r.doc_id: r.text.split() for r in queries.op1_substring_dedup(spark, stored(spark, tmp_path, rows)).collect()}
+    for i, t in rows:
+        kept = got[i]
+        if i not in passages:
+            assert kept == t.split()
+            continue
+        left = [k for k, w in enumerate(passages[i]) if w in set(kept)]
+        assert all(k < 12 or k > 38 for k in left)
+        assert [w for w in t.split() if w not in passages[i]] == [w for w in kept if w not in passages[i]]
