@@ -4,13 +4,16 @@ Numbers, names and units become typed placeholders, so a question with other
 parameters keeps its template. Windows of template words are hashed and looked
 up among the benchmark's; a document holds an item if it has ``COVERAGE`` of
 the item's distinct windows and the slots agree: each value of the item stands
-for one value in the document.
+for one value in the document. An item some of whose windows have fewer than
+``PLAIN`` plain words is also looked up by its literal
+words in lower case, so that its copies are found however many placeholders it
+has.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at
 most ``BLOCK_CHARS`` characters, and every document meets every block.
 
 Defined results: null and empty texts hold nothing; an item without words is
-held by nothing; an item shorter than a window is one window; repeated rows
+held by nothing; an item shorter than a window is one window, also one of numbers only; repeated rows
 each give a row; items that repeat an id count as one; an empty benchmark flags
 nothing; all columns stay.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, mix, words_of
+from .common import bounded_batches, mix, windows, words_of
 
 WINDOW = 8
 COVERAGE = 0.6
@@ -74,6 +77,15 @@ class Words(dict):
             self[word] = out
         return out
 
+    def literal(self, words: list[str]) -> np.ndarray:
+        """Hashes of the words themselves, in lower case."""
+        import xxhash
+
+        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words)) & ~FLAGS
+        for i in np.flatnonzero(h == NUM_HASH).tolist():
+            h[i] = max(xxhash.xxh3_64_intdigest(words[i].strip(EDGE).encode()) & ~7, 64)
+        return h
+
     def template(self, words: list[str]) -> np.ndarray:
         """Hashes of the template's words."""
         h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -115,37 +127,52 @@ class Block:
     def __init__(self, items: list[tuple[int, str]]):
         known = Words()
         self.items: list[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]] = []
-        by_size: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        by_size: dict[tuple[int, bool], tuple[list[np.ndarray], list[np.ndarray]]] = {}
+
+        def add(item: int, words: list[str], k: int, literal: bool, h: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+            own = by_size.setdefault((k, literal), ([], []))
+            distinct = np.unique(w)
+            own[0].append(distinct)
+            own[1].append(np.full(len(distinct), len(self.items)))
+            self.items.append((item, words, h, at, w))
+
         for item, text in items:
             words = words_of(text)
             k = min(WINDOW, len(words))
             h = known.template(words)
             # a text in capitals doesn't tell names: for those the item is known with its names as words too
             plain = known.template([x.lower() for x in words])
+            few = False
             for h in (h,) if np.array_equal(h, plain) else (h, plain):
                 at, w = template_windows(h, k) if k else (np.empty(0, np.int64), np.empty(0, np.uint64))
-                if not len(w):
-                    continue
-                own = by_size.setdefault(k, ([], []))
-                distinct = np.unique(w)
-                own[0].append(distinct)
-                own[1].append(np.full(len(distinct), len(self.items)))
-                self.items.append((item, words, h, at, w))
+                few |= len(w) < len(words) - k + 1
+                if len(w):
+                    add(item, words, k, False, h, at, w)
+            if few and k:
+                h = known.literal(words)
+                w = windows(h, k)
+                add(item, words, k, True, h, np.arange(len(w)), w)
         self.tables = []
-        for k, (w, i) in sorted(by_size.items()):
+        for (k, literal), (w, i) in sorted(by_size.items()):
             w, i = np.concatenate(w), np.concatenate(i)
             order = np.lexsort((i, w))
             w, i = w[order], i[order]
             sieve = np.zeros(1 << 22, bool)
             sieve[(w & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.tables.append((k, w, i, sieve))
+            self.tables.append((k, literal, w, i, sieve))
 
     def held(self, text: str, known: Words) -> list[int]:
         words = words_of(text)
-        h = known.template(words)
+        template = known.template(words)
+        exact = known.literal(words) if any(literal for _, literal, *_ in self.tables) else template
         out = []
-        for k, own, item, sieve in self.tables:
-            at, w = template_windows(h, k)
+        for k, literal, own, item, sieve in self.tables:
+            h = exact if literal else template
+            if literal:
+                w = windows(h, k)
+                at = np.arange(len(w))
+            else:
+                at, w = template_windows(h, k)
             maybe = sieve[(w & np.uint64((1 << 22) - 1)).astype(np.int64)]
             if not maybe.any():
                 continue

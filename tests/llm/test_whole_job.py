@@ -98,3 +98,17 @@ def test_unpunctuated_passages_behind_lead_ins(spark, tmp_path):
         left = [k for k, w in enumerate(passages[i]) if w in set(kept)]
         assert all(k < 12 or k > 38 for k in left)
         assert [w for w in t.split() if w not in passages[i]] == [w for w in kept if w not in passages[i]]
+
+
+def test_items_of_few_plain_words(spark, tmp_path):
+    items = [
+        (1, "What is 12 * 7?"), (2, "Who is Ada Lovelace?"), (3, "Anna Berta Carla Dora Emma Frida Greta Hanna Ida Jana"), (4, "1 2 3 4 5 6 7 8 9 10 11 12"), (5, "42"),
+        (6, "The names are Rome Paris Milan Lyon Turin 12 15 17 and no more than that are asked for here"), (7, ""), (8, None),
+    ]
+    rows = [(i, f"Some words before. {t} And some after.") for i, t in items if t] + [
+        (20, "they asked Who is Ada Lovelace? and went"), (21, "they asked who is ada lovelace and went"), (22, "What is 13 * 7? asked"), (23, "Who is Bob Lovelace?"), (24, "1 2 3 4 5 6 7 9"), (25, ""), (26, None),
+    ]
+    sf = stored(spark, tmp_path, rows)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = {r.doc_id: r.item_ids for r in queries.op10_template_decontamination(spark, sf).collect()}
+    assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "5", 6: "6", 20: "2", 21: "2", 22: "", 23: "", 24: "", 25: "", 26: ""}
