@@ -3,9 +3,12 @@
 The patterns give the base spans. Tokens that hold a digit or an @ are the
 variables of the field. Neighbours in the text share chain potentials; tokens
 that repeat, or are similar (same last seven digits, same local part of an
-address), share skip potentials, each with its last occurrence before. Loopy
-sum-product passing makes labels agree over the document: a number that stands
-once in a form the patterns know is found in its other forms too.
+address), share skip potentials: each with the last such token before it that
+lies in a base span, or else the first after it, so that evidence is one skip
+away however long the document is; where none lies in a base span, each with
+its last occurrence before. Loopy sum-product passing until messages converge
+makes labels agree over the document: a number that stands once in a form the
+patterns know is found in its other forms too.
 
 Weights come from a bounded sample of documents, labelled by the base spans.
 
@@ -41,7 +44,9 @@ O = 0  # noqa: E741
 TOKEN = re.compile(r"\S+")
 EDGE = ".,;:!?\"'<>[]{}|"
 SURE = 0.9
-ROUNDS = 12
+#: Messages are passed until none changes by more, or for so many rounds where they circle.
+SETTLED = 1e-3
+ROUNDS = 200
 #: Tokens further apart than so many characters share no chain potential.
 NEAR = 4
 
@@ -150,12 +155,28 @@ class Graph:
     skip: np.ndarray
 
 
+def skips(own: list[int], label: list[int]) -> list[tuple[int, int]]:
+    """Pairs of similar tokens, given in order, that share a skip potential."""
+    known = next((n for n in own if label[n]), None)
+    if known is None:
+        return list(zip(own, own[1:]))
+    out, hub = [], None
+    for n in own:
+        if hub is not None:
+            out.append((hub, n))
+        elif n != known:
+            out.append((n, known))
+        if label[n]:
+            hub = n
+    return out
+
+
 def graph(batch: list[str], base: list[list[tuple[int, int, int]]]) -> Graph:
     owner, start, end, xs, label, chain, skip = [], [], [], [], [], [], []
     for d, text in enumerate(batch):
         if not SOME.search(text):
             continue
-        last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         spans, k = base[d], 0
         prior = None
         for s, e in tokens(text):
@@ -171,10 +192,10 @@ def graph(batch: list[str], base: list[list[tuple[int, int, int]]]) -> Graph:
             if prior is not None and s - end[prior] <= NEAR:
                 chain.append((prior, n))
             if key := skip_key(text[s:e]):
-                if key in last and not (chain and chain[-1] == (last[key], n)):
-                    skip.append((last[key], n))
-                last[key] = n
+                alike.setdefault(key, []).append(n)
             prior = n
+        for own in alike.values():
+            skip += skips(own, label)
     edges = lambda e: np.array(e, np.int64).reshape(-1, 2)
     return Graph(np.array(owner, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(xs).reshape(-1, FEATURES), np.array(label, np.int64), edges(chain), edges(skip))
 
@@ -221,7 +242,7 @@ def marginals(g: Graph, model: Model, clamp: bool = True) -> np.ndarray:
     unary = g.x @ model.unary
     if clamp:
         fixed = g.label > 0
-        unary[fixed] = np.where(np.eye(unary.shape[1], dtype=bool)[g.label[fixed]], 0.0, -20.0)
+        unary[fixed] = np.where(np.eye(unary.shape[1], dtype=bool)[g.label[fixed]], 0.0, -1e9)  # no number of messages outweighs it
     unary -= unary.max(1, keepdims=True)
     a = np.concatenate([g.chain[:, 0], g.skip[:, 0]])
     b = np.concatenate([g.chain[:, 1], g.skip[:, 1]])
@@ -239,7 +260,10 @@ def marginals(g: Graph, model: Model, clamp: bool = True) -> np.ndarray:
             out = np.exp(out - out.max(1, keepdims=True))
             new = np.log(np.maximum(np.einsum("ei,eij->ej", out, pot), 1e-30))
             new -= new.max(1, keepdims=True)
+            change = np.abs(new - msg).max()
             msg = 0.5 * msg + 0.5 * new
+            if change <= SETTLED:
+                break
         np.add.at(unary, target, msg)
     p = np.exp(unary - unary.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)

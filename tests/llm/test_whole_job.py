@@ -1,8 +1,11 @@
 """What the registered queries once left out, each held against the whole job."""
 
 import random
+import re
 
-from kbengine.llm import queries
+import pytest
+
+from kbengine.llm import pii_crf, queries
 
 from .conftest import documents, prose
 
@@ -112,3 +115,20 @@ def test_items_of_few_plain_words(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     got = {r.doc_id: r.item_ids for r in queries.op10_template_decontamination(spark, sf).collect()}
     assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "5", 6: "6", 20: "2", 21: "2", 22: "", 23: "", 24: "", 25: "", 26: ""}
+
+
+@pytest.mark.parametrize("full", ["first", "middle", "last"])
+@pytest.mark.parametrize(("form", "other"), [("5552186", ""), ("1-555-2186", " order {0} and 9{0}")])
+def test_fifty_repeats_of_a_number(full, form, other):
+    rng = random.Random(2)
+    num = lambda n: "".join(rng.choices("0123456789", k=n))
+    some = [f"and so +1 ({num(3)}) 555-{num(4)} it is a{num(2)}.b@mail.example.com in {rng.randint(1, 250)}.{rng.randint(1, 250)}.3.4 of year {num(4)} or {num(2)}{other.format(num(7))}" for _ in range(200)]
+    model = pii_crf.train(some)
+    for repeats in (1, 13, 50):
+        parts = [f"Again {form} it was; the order of words goes on."] * repeats
+        at = {"first": 0, "middle": repeats // 2, "last": repeats}[full]
+        text = " ".join([*parts[:at], "Call +1 (456) 555-2186 now.", *parts[at:]])
+        base = pii_crf.base_spans(text)
+        got = {(a, b) for a, kind, b in pii_crf.added_spans([text], [base], model)[0] if pii_crf.KINDS[kind] == "phone"}
+        want = {(m.start() + 6, m.end()) for m in re.finditer("Again " + form, text)}
+        assert len(base) == 1 and len(want) == repeats and got == want
