@@ -164,7 +164,43 @@ class Bundle:
     def release_check(self, rules: dict | None = None) -> DataFrame:
         found = reports.injection(self.concepts().select("path", F.col("body").alias("text")))
         hatch = bool((self.meta("purpose").get("acceptance") or {}).get("allow_injection"))
-        return release.verdict(release.validated(self.validate(rules, strict=True)), release.injection_free(found, hatch))
+        purpose, ledger = self.meta("purpose"), self.log_rows("ledger", LEDGER + ", spans map<string,map<string,string>>")
+        parts = [release.validated(self.validate(rules, strict=True)), release.injection_free(found, hatch)]
+        if str(purpose.get("provenance", "")).strip() != "legacy":
+            segments = self.segments()
+            spans = curation.latest_spans(ledger).select("segment", F.explode("spans").alias("class", "own"))
+            # a report without spans is one as well
+            latest = spans.select("segment", "class", F.explode_outer("own").alias("span", "why")).where("class != 'dropped' OR span IS NOT NULL").drop("why")
+            reported = curation.latest_spans(ledger).select("segment", F.lit("reported").alias("class"), F.lit("").alias("span"))
+            none = segments.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+            parts += [release.problem(none, "E_REL_SEGMENTS", F.lit("no plan")), release.provenance_complete(segments, self.jobs(), ledger), release.spans_reported(segments, latest.unionByName(reported))]
+        asked = [(q["query"] if isinstance(q, dict) else str(q),) for q in purpose.get("test_queries") or []]
+        acceptance = purpose.get("acceptance") or {}
+        parts.append(release.surface(self.spark.createDataFrame(asked, "query string"), 10, "E_REL_EVAL_SURFACE"))
+        one = self.spark.range(1)
+        if store.read(self.spark, f"{self.root}/meta/eval.json") is None:
+            parts.append(release.problem(one, "E_REL_EVAL_MISSING", F.lit("acceptance")))
+        if acceptance.get("dissent") == "required":
+            none = curation.merge_groups(ledger.where("merge_map IS NOT NULL")).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+            parts.append(release.problem(none, "E_REL_DISSENT_UNVERIFIABLE", F.lit("no merge group")))
+            parts.append(release.dissent(self.dissent_states(ledger), bool(acceptance.get("allow_open_dissent"))))
+        return release.verdict(*parts)
+
+    def jobs(self) -> DataFrame:
+        """segment, digest: the frozen job of each planned segment."""
+        names = {r.segment for r in self.segments().select("segment").distinct().collect()}
+        texts = {n: store.read(self.spark, f"{self.root}/meta/jobs/{n}.json") for n in sorted(names)}
+        return self.spark.createDataFrame([(n, json.loads(t)["digest"]) for n, t in texts.items() if t], "segment string, digest string")
+
+    def dissent_states(self, ledger: DataFrame) -> DataFrame:
+        """group, state: whether each merged group's adjudication holds."""
+        groups = curation.merge_groups(ledger.where("merge_map IS NOT NULL"))
+        marks = [(r.final, self._group_mark(r.final, r.drafts)) for r in groups.collect()]
+        return curation.dissent_state(self.log_rows("dissent", DISSENT), self.spark.createDataFrame(marks, "group string, current string"))
+
+    def _group_mark(self, group: str, drafts: list[str]) -> str:
+        final = store.read(self.spark, f"{self.root}/{group}.md")
+        return T.digest({"drafts": sorted(drafts), "final": hashlib.sha256(final.encode()).hexdigest() if final else ""})
 
     def budget(self) -> DataFrame:
         return reports.budget(self.concepts().where("kind != 'meta'").select("id", "type", T.token_count(F.col("body")).alias("tokens")))
@@ -255,8 +291,7 @@ class Bundle:
         B.append_log(self.spark, f"{self.root}/meta/ledger.jsonl", [row])
 
     def dissent_add(self, group: str, drafts: list[str], verdict: str, run_id: str, waiver: str | None = None) -> None:
-        final = store.read(self.spark, f"{self.root}/{group}.md")
-        mark = T.digest({"drafts": sorted(drafts), "final": hashlib.sha256(final.encode()).hexdigest() if final else ""})
+        mark = self._group_mark(group, drafts)
         row = {"run_id": run_id, "group": group, "drafts": drafts, "verdict": verdict, "adjudication_fingerprint": mark} | ({"waiver": waiver} if waiver else {})
         B.append_log(self.spark, f"{self.root}/meta/dissent.jsonl", [row])
 
