@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,16 +39,64 @@ def bounded_batches(spark: SparkSession) -> None:
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What this worker process keeps from task to task: of one owner at a time.
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]):
+    """What ``owner`` keeps in this worker process; made anew, and everything else dropped, when another owner had the worker."""
+    if owner not in _kept:
+        release(owner)
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def release(owner: str = "") -> None:
+    """Drop what other owners keep, and give the freed memory back to the system."""
+    gone = [k for k in _kept if k != owner]
+    if not gone:
+        return
+    for k in gone:
+        close = getattr(_kept.pop(k), "close", None)
+        if close:
+            close()
+    gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory that the allocators hold goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def alone(owner: str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` in a worker that first drops what other owners have left in it, and afterwards hands back what its batches took."""
+
+    def run(batches):
+        release(owner)
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the shared folder of ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, the session gets one of its own once.
+    Where that is unset, a session with a local master, as in tests, gets one of
+    its own once; on a cluster that is an error, since a folder of one machine is none of the others'.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             import tempfile
 
@@ -63,9 +113,10 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``f`` over Arrow batches of bounded size; a worker keeps nothing of another module's."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(alone(f.__module__, f), schema)
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -81,14 +132,51 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
 def sampled(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most ``n`` rows, those with the least hashes of the keys: the same at any partitioning.
 
-    Of large tables only about ``4 n`` rows, by hash, reach the sort, so that no
-    task sends ``n`` rows of its own.
+    ``keys`` tell rows apart; a text's hash does as well as the text and is all
+    that the sort moves: the rows themselves come by a second pass over ``df``,
+    which keeps the rows under the hash of the ``n``-th.
     """
     h = F.xxhash64(*keys)
-    share = df.count() // (4 * n)
+    hashes = df.select(h.alias("h"))
+    share = hashes.count() // (4 * n)
+    if share > 1:  # of large tables only about 4 n hashes reach the sort
+        hashes = hashes.where(F.pmod(F.xxhash64(F.lit(17), "h"), F.lit(share)) == 0)
+    last = hashes.orderBy("h").limit(n).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    own = df.where(h <= F.lit(last.h if last.h is not None else 0))
     if share > 1:
-        df = df.where(F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(share)) == 0)
-    return df.orderBy(h, *keys).limit(n)
+        own = own.where(F.pmod(F.xxhash64(F.lit(17), h), F.lit(share)) == 0)
+    return own.orderBy(h, *keys).limit(n)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it where the table has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of a bitmap of wanted rows; beyond some ten million of them it lets others pass as well.
+MAP_BITS = 1 << 24
+
+
+def bit(value: Column) -> Column:
+    """The bit of a 64-bit value in a bitmap."""
+    return F.xxhash64(value).bitwiseAND(MAP_BITS - 1)
+
+
+def bitmap(values: DataFrame) -> bytes:
+    """A bitmap, of fixed size, of the table's one column: what it lacks is in no row, so such rows need no exchange."""
+    words = values.select(bit(F.col(values.columns[0])).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r.w] = r.bits
+    return out.tobytes()
+
+
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the bits ``at`` are set; ``bits`` are the bitmap's 64-bit words."""
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 class WordHash(dict):

@@ -14,7 +14,8 @@ common boundaries fall stay; the registered queries use ``dedup_runs``.
 Defined results: a null text stays null, an empty one empty; repeated rows
 (same id, same text) are one document and end up alike; rows that share only an
 id are told apart by their text; a null id comes after all others; an empty
-table gives no rows; all columns stay, ``n_chars`` follows the text.
+table gives no rows; all columns stay, but for ones named ``n_removed`` or
+``removed``, which the operator's own replace; ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -137,16 +138,16 @@ def pair_bodies(text: str, marks: list[int]) -> list[bytes]:
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated chunks, n_removed (chunks) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    return _removed(own, repeats.placed(repeats.units(own, cut)).where("many"), chunk_bodies, cut_out)
+    return _removed(own, repeats.placed(repeats.units(own, cut)).where("many"), chunk_bodies, cut_out, docs.columns)
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated runs of lines, n_removed (lines with words) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    return _removed(own, repeats.placed(repeats.units(own, cut_pairs)).where("many"), pair_bodies, cut_out_pairs)
+    return _removed(own, repeats.placed(repeats.units(own, cut_pairs)).where("many"), pair_bodies, cut_out_pairs, docs.columns)
 
 
-def _removed(own: DataFrame, places: DataFrame, bodies_of, cut_out) -> DataFrame:
+def _removed(own: DataFrame, places: DataFrame, bodies_of, cut_out, columns: list[str]) -> DataFrame:
     # with all columns, as below, so that the texts are exchanged once for both joins
     asked = repeats.with_marks(own, repeats.by_document(places), "inner")
 
@@ -163,4 +164,4 @@ def _removed(own: DataFrame, places: DataFrame, bodies_of, cut_out) -> DataFrame
     rest = places.where(repeats.LATER).select("doc_id", "at", "first_id", "first_at")
     firsts = bodies.select(F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"), F.col("body").alias("first_body"))
     same = rest.join(bodies, ["doc_id", "at"]).join(firsts, ["first_id", "first_at"]).where(F.col("body") == F.col("first_body"))
-    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(same.select("doc_id", "at"))), cut_out)
+    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(same.select("doc_id", "at"))), cut_out, columns)

@@ -31,9 +31,17 @@ LAST = (1 << 63) - 1
 UNITS = "h1 long, h2 long, doc_id long, at long, first_id long, first_at long, more boolean"
 
 
+#: Columns that come out of it; a table's own of these names give way.
+OWN = ("n_removed", "removed")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """All columns, with ``doc_id`` as long, ``text`` as string and the text's hash as ``__h``."""
-    return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF))
+    """``doc_id`` as long, ``text`` as string, ``n_chars`` where there is one, the other columns as ``rest``, and the text's hash as ``__h``: so no name clashes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars", *OWN)]
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["n_chars"] if "n_chars" in docs.columns else []),
+        F.struct(*(F.col(f"`{c}`") for c in others) if others else [F.lit(0).alias("none")]).alias("rest"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(0xFFFFFFFF).alias("__h"),
+    )
 
 
 def units(docs: DataFrame, cut: Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
@@ -107,13 +115,13 @@ def with_marks(docs: DataFrame, marks: DataFrame, how: str = "left") -> DataFram
     return docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]) & (docs["__h"] == own["__hh"]), how).drop("__id", "__hh")
 
 
-def rebuilt(marked: DataFrame, cut_out: Callable[[str, list[int]], tuple[str, int, str]]) -> DataFrame:
-    """Texts without their marked units: all columns of the documents, and n_removed, removed (start:end of what went).
+def rebuilt(marked: DataFrame, cut_out: Callable[[str, list[int]], tuple[str, int, str]], columns: list[str]) -> DataFrame:
+    """Texts without their marked units: the documents' ``columns``, and n_removed, removed (start:end of what went).
 
     A column ``n_chars`` follows the text.
     """
     names = [n for n in marked.columns if n not in ("__h", "__idx")]
-    own = marked.select(*[f"`{n}`" for n in names], "__idx")
+    own = marked.select(*names, "__idx")
     at = names.index("text")
     schema = T.StructType([own.schema[n] for n in names] + [T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
 
@@ -136,7 +144,5 @@ def rebuilt(marked: DataFrame, cut_out: Callable[[str, list[int]], tuple[str, in
                 cols[k] = pa.array([len(t) if n else o for t, n, o in zip(new, counts, old, strict=True)], cols[k].type)
             yield pa.record_batch([*cols, pa.array(counts, pa.int64()), pa.array(spans, pa.string())], names=[f.name for f in schema])
 
-    from .common import bounded_batches
-
-    bounded_batches(marked.sparkSession)
-    return own.mapInArrow(run, schema)
+    out = map_arrow(own, run, schema)
+    return out.select(*(F.col(c) if c in names else F.col("rest").getField(c).alias(c) for c in columns if c not in OWN), *OWN)

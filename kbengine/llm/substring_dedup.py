@@ -16,7 +16,8 @@ edges stay.
 Defined results: a null text stays null, an empty one empty; repeated rows
 (same id, same text) are one document and end up alike; rows that share only an
 id are told apart by their text; a null id comes after all others; an empty
-table gives no rows; all columns stay, ``n_chars`` follows the text.
+table gives no rows; all columns stay, but for ones named ``n_removed`` or
+``removed``, which the operator's own replace; ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -171,4 +172,4 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
 def _removed(docs: DataFrame, of, out) -> DataFrame:
     own = repeats.keyed(docs)
     rest = repeats.placed(repeats.units(own, _Cut(of))).where(repeats.LATER)
-    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(rest)), out)
+    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(rest)), out, docs.columns)

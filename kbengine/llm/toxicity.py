@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_char
     own = labels.select("doc_id", column(labels, "toxic", "int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = sampled(own, sample_rows, "doc_id")
-    rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(own), "doc_id").select("text", "toxic").limit(2 * sample_rows).collect()
+    rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(own), "doc_id").orderBy("doc_id", F.xxhash64("text"), "text").select("text", "toxic").limit(2 * sample_rows).collect()
     return train(sorted((r.text, r.toxic) for r in rows))
 
 
@@ -205,7 +205,4 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
             ok = [scorer.score(t)[0] < THRESHOLD for t in texts(b.column(at))]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    from .common import bounded_batches
-
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
