@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import fresh, written
 
 BITS = 60
 #: Bits by which the directory looks further where a fine prefix is still too large.
@@ -39,8 +39,8 @@ def _directory(cells: DataFrame, top: int, bits: int, limit: int) -> DataFrame:
     return cells.join(first, "cell", "left").select("cell", F.col("at.depth").alias("depth"), F.col("at.total").alias("total"))
 
 
-def shards(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, shard (its bits), part, depth, n_bytes, shard_bytes, oversized: a row a document."""
+def placed(docs: DataFrame, limit: int) -> DataFrame:
+    """doc_id, key, shard (its bits), part, depth, n_bytes, shard_bytes, parts (of its key), oversized: a row a document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(own.select("doc_id", key().alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "keys")
     total = own.agg(F.sum("n_bytes")).first()[0] or 0
@@ -51,7 +51,7 @@ def shards(docs: DataFrame, limit: int) -> DataFrame:
         cells = rest.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
         directory = written(_directory(cells, top, bits, limit), "directory")
         met = rest.withColumn("cell", cell).join(directory, "cell")
-        fit = met.where(F.col("depth").isNotNull()).select("doc_id", "key", "n_bytes", F.col("depth").cast("int").alias("depth"), F.lit(0).cast("long").alias("part"), F.col("total").alias("shard_bytes"))
+        fit = met.where(F.col("depth").isNotNull()).select("doc_id", "key", "n_bytes", F.col("depth").cast("int").alias("depth"), F.lit(0).cast("long").alias("part"), F.col("total").alias("shard_bytes"), F.lit(1).alias("parts"))
         out = fit if out is None else out.unionByName(fit)
         if directory.where(F.col("depth").isNull()).isEmpty():
             break
@@ -61,27 +61,49 @@ def shards(docs: DataFrame, limit: int) -> DataFrame:
             break
         top, bits = bits + 1, min(BITS, bits + STEP)
     shard = F.expr(f"CASE WHEN depth = 0 THEN '' ELSE lpad(bin(shiftright(key, {BITS} - depth)), depth, '0') END")
-    return out.select("doc_id", shard.alias("shard"), "part", "depth", "n_bytes", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+    return out.select("doc_id", "key", shard.alias("shard"), "part", "depth", "n_bytes", "shard_bytes", "parts", (F.col("shard_bytes") > limit).alias("oversized"))
+
+
+def _parted(same: DataFrame, key_: str, size: str, limit: int) -> DataFrame:
+    """Rows that share whole keys, with the ``part`` of each: every part takes as many as fit.
+
+    Rows are numbered within the tasks that hold them, behind those of the tasks
+    before, so that a key with a third of all rows is no single task's.
+    """
+    own = written(same.withColumn("__task", F.spark_partition_id()), "same")
+    counts = own.groupBy(key_, "__task").agg(F.count(F.lit(1)).alias("__n"), F.max(size).alias("__most"))
+    by = Window.partitionBy(key_)
+    before = counts.select(key_, "__task", F.coalesce(F.sum("__n").over(by.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("__most").over(by), F.lit(1)))).alias("__each"))
+    place = F.row_number().over(Window.partitionBy(key_, "__task").orderBy(size)) - 1 + F.col("__before")
+    return own.join(before, [key_, "__task"]).withColumn("part", F.floor(place / F.col("__each")).cast("long")).drop("__task", "__before", "__each")
 
 
 def _numbered(same: DataFrame, limit: int) -> DataFrame:
-    """Rows that share the whole key: each part takes as many as fit. Rows are numbered within the tasks' shares first."""
-    own = written(same.withColumn("task", F.spark_partition_id()), "same")
-    counts = own.groupBy("key", "task").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy("key", "task").orderBy("n_bytes", "doc_id")) - 1 + F.coalesce("before", F.lit(0))
-    sizes = own.groupBy("key").agg(F.max("n_bytes").alias("most"))
-    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("most", F.lit(1))))
-    rows = own.join(before.select("key", "task", "before"), ["key", "task"]).withColumn("place", place).join(sizes, "key").withColumn("part", F.floor(F.col("place") / each).cast("long"))
+    """Rows that no bit tells apart, in parts."""
+    rows = _parted(same, "key", "n_bytes", limit)
     totals = rows.groupBy("key", "part").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return rows.join(totals, ["key", "part"]).select("doc_id", "key", "n_bytes", F.lit(BITS).alias("depth"), "part", "shard_bytes")
+    return rows.join(totals, ["key", "part"]).select("doc_id", "key", "n_bytes", F.lit(BITS).alias("depth"), "part", "shard_bytes", F.lit(2).alias("parts"))
 
 
 def write(docs: DataFrame, limit: int, path: str) -> None:
-    """Write all columns, a folder a shard; documents are joined with their shard by id and key."""
-    own = docs.withColumn("__key", key())
-    where = shards(docs, limit).select(F.col("doc_id").alias("__id"), "shard", "part").dropDuplicates(["__id"])
-    own.join(where, own["doc_id"].eqNullSafe(where["__id"])).drop("__id", "__key").write.partitionBy("shard", "part").parquet(path)
+    """Write all columns, a folder a shard (its bits and part); ``shard`` and ``part`` give way where the table has them.
+
+    Documents are joined with their shard by id and key. Rows that no bit tells
+    apart are equal in both; they are numbered into parts anew, as ``shards`` does.
+    """
+    own = docs.drop("shard", "part")
+    k, size, i, h = (fresh(own, c) for c in ("key", "size", "id", "hash"))
+    own = own.withColumns({k: key(), size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    where = placed(docs, limit).select(F.col("doc_id").alias(i), F.col("key").alias(h), "shard", "part", "parts").dropDuplicates([i, h])
+    both = own.join(where, own["doc_id"].cast("long").eqNullSafe(where[i]) & (own[k] == where[h])).drop(i, h)
+    alone, more = both.where("parts = 1"), _parted(both.where("parts > 1").drop("part"), k, size, limit)
+    columns = [*(f"`{c}`" for c in docs.drop("shard", "part").columns), "shard", "part"]
+    alone.select(*columns).unionByName(more.select(*columns)).write.partitionBy("shard", "part").parquet(path)
+
+
+def shards(docs: DataFrame, limit: int) -> DataFrame:
+    """doc_id, shard (its bits), part, depth, n_bytes, shard_bytes, oversized: a row a document."""
+    return placed(docs, limit).drop("key", "parts")
 
 
 #: The same rows in SQL for DuckDB; rows repeated beyond the limit apart.
