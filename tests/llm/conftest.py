@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside.
-CLASH = ("n", "h", "at", "idx", "first", "node", "label", "sig", "quality", "toxic", "key", "part", "depth", "cell", "score", "kept", "items", "pos", "removed_")
+CLASH = ("n", "h", "at", "idx", "first", "node", "label", "quality", "toxic", "key", "part", "depth", "cell", "score", "kept", "items", "pos", "rest", "sig", "own", "maybe", "hh", "id", "__h", "__idx", "__items", "__id", "__hh")
 
 
 def documents(spark, rows):

@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kbengine.llm import chat_format, decontamination, jaccard_join, line_dedup, queries, sharding, substring_dedup
 
@@ -202,6 +203,28 @@ def test_shards(spark, make, clash, corpus):
     assert sharding.shards(make([]).where("false"), 10).count() == 0
 
 
+def test_shards_written(spark, make, tmp_path):
+    rows = [(1, c * 900) for c in "abc"] + [(2, "same " * 100)] * 7 + [(None, None), (3, "z" * 5000), (4, "")]
+    docs = make(rows).withColumns({"shard": F.lit("x"), "key": F.lit("y"), "number": F.lit(1)})
+    sharding.write(docs, 1000, f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert {"key", "number", "n_chars"} <= set(out.columns)
+    got = out.select("doc_id", "text", F.input_file_name().alias("f")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.f.rpartition("/")[0], []).append(len(r.text or ""))
+    assert all(sum(v) <= 1000 or len(v) == 1 for v in sizes.values())
+
+
+def test_columns_named_as_the_result(spark, make):
+    docs = make([(1, "A line of words.\nAnother line of words."), (2, "A line of words.\nAnother line of words.")]).withColumns({"removed": F.lit("x"), "n_removed": F.lit("y"), "__h": F.lit("h")})
+    for op in (line_dedup, substring_dedup):
+        out = op.dedup_runs(docs)
+        assert out.columns == [*(c for c in docs.columns if c not in ("removed", "n_removed")), "n_removed", "removed"]
+        assert {r.doc_id: (r.n_removed, r["__h"]) for r in out.collect()} == {1: (0, "h"), 2: (2, "h")}
+
+
 def test_benchmark_templates(spark, make, clash):
     items = [
         (1, "A train leaves Rome at 3 km per hour and the slow bus from Milan needs 3 hours to cover 40 km of road near Rome."),
@@ -226,8 +249,8 @@ def test_benchmark_passages_in_the_tables(spark):
     assert want and want <= got and len(got) <= len(want) + 2
 
 
-def test_blocks_of_items(spark, make, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 200)
+def test_benchmarks_beyond_the_broadcast(spark, make, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 3)
     rng = random.Random(0)
     items = [(k, " ".join(str(rng.random())[2:7] + "abc" for _ in range(12))) for k in range(9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -235,3 +258,69 @@ def test_blocks_of_items(spark, make, monkeypatch):
     assert sorted((r.doc_id, r.item_ids) for r in got.collect()) == [(0, "0,7"), (1, "5")]
 
 
+def plain_match(item, text):
+    """By brute force: whether some alignment of the item's words with the text's has 60 % of its eight-word template windows and slots of one value each."""
+
+    def template(words):
+        out = []
+        for k, w in enumerate(words):
+            core = w.strip(decontamination.EDGE)
+            if re.fullmatch(r"[0-9.]+", core):
+                out.append("#")
+            elif core[:1].isupper() and not core.isupper() and k and words[k - 1][-1] not in ".!?:":
+                out.append("@")
+            elif core.lower() in decontamination.UNITS and out and out[-1] == "#":
+                out.append("%")
+            else:
+                out.append(core.lower())
+        return out
+
+    a, b = item.split(), text.split()
+    x, y = template(a), template(b)
+    plain = lambda t: sum(c not in "#@%" for c in t) >= 4
+    own = [q for q in range(len(x) - 7) if plain(x[q : q + 8])]
+    for d in range(-len(x), len(y)):
+        met = [q for q in own if 0 <= q + d <= len(y) - 8 and x[q : q + 8] == y[q + d : q + d + 8]]
+        if met and len({tuple(x[q : q + 8]) for q in met}) >= 0.6 * len({tuple(x[q : q + 8]) for q in own}):
+            slots, by = {q + j for q in met for j in range(8) if x[q + j] in ("#", "@", "%")}, {}
+            for q in slots:
+                by.setdefault((x[q], a[q].strip(decontamination.EDGE)), []).append(b[q + d].strip(decontamination.EDGE))
+            if sum(max(map(v.count, v)) for v in by.values()) >= 0.8 * len(slots):
+                return True
+    return False
+
+
+def test_templates_equal_a_plain_matcher(spark, make):
+    rng = random.Random(12)
+    word = lambda: "w" + "".join(rng.choices("abcdefgh", k=5))
+    forms, items = [], []
+    for k in range(6):
+        form = [rng.choice(["#0", "#1", "@0", "@1"]) if rng.random() < 0.25 else word() for _ in range(rng.randint(14, 40))]
+        form[0] = word()
+        forms.append(form)
+        items.append((k, " ".join({"#": str(11 + 7 * k + int(w[1:] or 0)), "@": f"Name{k}{w[1:]}"}.get(w[0], w) if w[0] in "#@" else w for w in form)))
+    rows = []
+    for k in range(160):
+        form = list(rng.choice(forms))
+        values = {s: (str(rng.randint(100, 999)) if s[0] == "#" else "Else" + "".join(rng.choices("abc", k=4))) for s in ("#0", "#1", "@0", "@1")}
+        mixed = rng.random() < 0.4
+        own = [(values[w] if not mixed else str(rng.randint(100, 999)) if w[0] == "#" else "Else" + "".join(rng.choices("abc", k=4))) if w in values else w for w in form]
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            own[rng.randrange(len(own))] = word()
+        lead = [word() for _ in range(rng.randint(1, 9))]
+        rows.append((k, " ".join([*lead, *own[: rng.choice([len(own), len(own), len(own) * 2 // 3])], word()])))
+    got = {r.doc_id: set(filter(None, r.item_ids.split(","))) for r in decontamination.report(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: {str(k) for k, item in items if plain_match(item, t)} for i, t in rows}
+    assert got == want and sum(map(bool, want.values())) > 30 and sum(not v for v in want.values()) > 20
+
+
+def test_items_behind_many_partial_copies(spark, make):
+    rng = random.Random(6)
+    word = lambda: "w" + "".join(rng.choices("abcdefgh", k=6))
+    own = [word() for _ in range(42)]
+    for at in (3, 20, 36):
+        own[at] = "17"
+    other = ["19" if k == 3 else "23" if k == 20 else w for k, w in enumerate(own[:32])]
+    rows = [(n, " ".join([*(other * n), *own])) for n in (1, 63, 64, 300)] + [(1000, " ".join(other * 64))]
+    got = {r.doc_id: r.item_ids for r in decontamination.report(make(rows), spark.createDataFrame([(5, " ".join(own))], "item_id long, text string")).collect()}
+    assert [got[n] for n in (1, 63, 64, 300)] == ["5"] * 4
