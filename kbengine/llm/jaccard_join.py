@@ -2,22 +2,34 @@
 
 A document's set is its distinct five-word shingles, as 64-bit hashes. Two sets
 of sizes a and b with Jaccard similarity of 0.8 or more differ in (a + b) / 9
-elements at most. For each band of sizes (powers of two) the domain is
-partitioned by hash. A partition with elements is a feature, its value the
-elements in it. Sets that differ in k elements differ in k partitions at most,
-so of the features in any order common to both, one among the first k + 1 of
-either is shared: those are the signatures. A set also signs for the next band
-where a partner may be in it. Sets too clustered for k + 1 features also sign by
-single elements, which covers pairs of such sets.
-
-Features all of whose elements are common in a bounded sample come last in the
-order, so that passages which many documents share hardly become signatures;
-the sample changes the work, never the result.
+elements at most. Bands of sizes overlap so that any two such sets have a band in
+common; in a band whose largest sets have t elements, a set of n differs from a
+similar one in k = (n + min(t, 5n / 4)) / 9 at most.
+
+In a band the domain is dealt by hash to ``n1`` first-level partitions of ``n2``
+cells each. As ``n1 * (k2 + 1) > k``, in some first-level partition the two sets
+differ in ``k2`` cells at most, so they agree on one of the subsets of
+``n2 - k2`` of its cells: every such subset with elements is enumerated, and its
+elements are a signature. Larger subsets cost more signatures, half as many again
+for ``n2`` 3 and ``k2`` 1, which bands of middle size have (``ENUMERATED``); beside
+them a first-level partition is one cell (``n2`` 1, ``k2`` 0).
+
+Subsets without elements tell nothing and give no signature. Therefore ``n1`` is
+larger than needed, and where a set has too many empty cells even so, it also
+signs in a second round, whose partitions are dealt by another hash, and so on;
+in the last round subsets without elements sign as well. Of two similar sets
+either one has enough filled cells in a round that both sign in, or both go on
+to the next: so no pair is lost. The first round leaves out elements that are
+common in a bounded sample, so that passages which many documents share hardly
+make signatures; two sets differ in no more elements without them. The sample
+changes the work, never the result.
 
 Equal sets are one node. Candidates that share a signature are verified by
 their whole sets: first each against the least node of its group, then neighbours
 in groups that still span several components, by size and by hash; at last every
-pair of different components in what spans several even then, in blocks.
+pair of different components in what spans several even then, in blocks. Nodes of
+a batch with one signature follow the least of them, which alone goes through the
+exchange: a signature that a third of all rows have sends a row a batch.
 
 Defined results: without words or text a document is empty, has no shingles and
 is linked with nothing (its component is its own id); with fewer than five words
@@ -28,19 +40,26 @@ table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
+from math import exp, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHash, map_arrow, mix, sampled, windows, written
+from .common import WordHash, bit, bitmap, fresh, kept, map_arrow, marked, mix, sampled, windows, written
 
 K = 5
-#: Elements of a partition on average in the largest sets of a band.
-EACH = 3.5
-#: In bands of sets up to this size each element is a partition of its own.
-SMALL = 32
+#: A band's largest size, times that of the band before.
+RATIO = 2
+#: In bands whose largest sets have so many elements cells are enumerated.
+ENUMERATED = (24, 256)
+#: Rounds with other partitions, of which the last signs by empty cells too.
+ROUNDS = 5
 #: The sample that tells common shingles: documents, characters of each, documents that hold a common one, and their number at most.
 SAMPLE_ROWS, SAMPLE_CHARS, COMMON, MOST = 3000, 20_000, 4, 200_000
 
@@ -57,18 +76,12 @@ class _Bytes(WordHash):
         return h
 
 
-#: Word hashes of this worker process; workers serve many tasks.
-_kept: list[_Bytes] = []
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of the shingles; bytes.lower and bytes.split treat ASCII letters and white space only."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if not _kept:
-        _kept.append(_Bytes(500_000))
-    h = _kept[0].of(words)
+    h = kept(__name__, lambda: _Bytes(300_000)).of(words)
     if len(words) < K:
         return mix(windows(h, len(h)) ^ np.uint64(len(words)))
     return np.unique(windows(h, K))
@@ -107,10 +120,6 @@ def may_link(x: bytes, n: int, y: bytes, m: int) -> bool:
     return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= (n + m) // 9
 
 
-def _partitions(top: int) -> int:
-    return int(np.ceil(top / EACH)) + 2
-
-
 def _among(x: np.ndarray, own: np.ndarray) -> np.ndarray:
     if not len(own):
         return np.zeros(len(x), bool)
@@ -119,40 +128,88 @@ def _among(x: np.ndarray, own: np.ndarray) -> np.ndarray:
     return own[at] == x
 
 
+@dataclass(frozen=True)
+class Band:
+    """Sets of ``low`` to ``top`` elements."""
+
+    low: int
+    top: int
+
+    @property
+    def cells(self) -> tuple[int, int]:
+        """n2 and k2."""
+        return (3, 1) if ENUMERATED[0] <= self.top <= ENUMERATED[1] else (1, 0)
+
+    def needed(self, n: int) -> int:
+        """First-level partitions of which one, in a set of ``n`` elements and any similar one of the band, has no more than k2 cells that differ."""
+        k = (n + min(self.top, n * 5 // 4)) // 9
+        return k // (self.cells[1] + 1) + 1
+
+    def first(self, round_: int) -> int:
+        """n1: so many more than the largest sets need that few of them lack filled ones."""
+        n2, k2 = self.cells
+        n1 = needed = self.needed(self.top)
+        while n1 < 4 * needed + 4:
+            empty = exp(-self.top / (n1 * n2))
+            lacking = empty if k2 == 0 else empty**n2 + n2 * empty ** (n2 - 1) * (1 - empty)
+            if n1 * (1 - lacking) - (1 + 2 * round_) * sqrt(n1 * lacking * (1 - lacking)) >= needed:
+                break
+            n1 += 1
+        return n1
+
+
+@cache
+def bands(n: int) -> tuple[tuple[int, Band], ...]:
+    """The numbered bands that sets of ``n`` elements belong to."""
+    out, j, before, top = [], 0, 0, 6
+    while (low := -(-4 * (before + 1) // 5)) <= n:
+        if n <= top:
+            out.append((j, Band(max(4, low), top)))
+        j, before, top = j + 1, top, top * RATIO
+    return tuple(out)
+
+
+@cache
+def layout(j: int, band: Band, round_: int) -> tuple[int, np.ndarray, list[np.uint64]]:
+    """n1, a constant for each first-level partition, and one for each subset of cells."""
+    n1 = band.first(round_)
+    tag = np.uint64(1 + j + (round_ << 8))
+    subsets = list(combinations(range(band.cells[0]), band.cells[0] - band.cells[1]))
+    place = mix(np.arange(n1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag)
+    return n1, place, [np.uint64((1 + c) * 0x9E3779B97F4A7C15 % (1 << 64)) for c in range(len(subsets))]
+
+
 def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """A set's signatures; its bands are powers of two."""
+    """A set's signatures, one for each enumerated subset with elements."""
     n = len(s)
     if n < 4:  # a partner of another size would be less than 0.8 similar
         return np.empty(0, np.uint64)
-    hot = _among(s, common)
+    rare = s[~_among(s, common)] if len(common) else s
     out = []
-    band = n.bit_length() - 1
-    for j in (band, band + 1):
-        largest = n * 5 // 4
-        if j > band and largest < 1 << j:
-            break
-        top = (2 << j) - 1
-        k = (n + min(largest, top)) // 9
-        tag = np.uint64(j + 1)
-        alone = False
-        if top < SMALL:
-            alone = True
-        else:
-            h = mix(s ^ (tag << np.uint64(32)))
-            part = h % np.uint64(_partitions(top))
-            order = np.argsort(part, kind="stable")
-            first = np.flatnonzero(np.diff(part[order], prepend=np.uint64(1 << 62)))
-            value = np.add.reduceat(mix(s + tag)[order], first)
-            index = part[order][first]
-            late = np.logical_and.reduceat(hot[order], first)
-            feature = mix(mix(value) + index * np.uint64(0x9E3779B97F4A7C15) + tag)
-            rank = np.lexsort((mix(index + tag), late))
-            out.append(feature[rank[: k + 1]])
-            alone = len(feature) <= k
-        if alone:
-            feature = mix(s ^ mix(np.full(1, tag)))
-            out.append(feature[np.lexsort((feature, hot))[: k + 1]])
-    return np.unique(np.concatenate(out))
+    for j, band in bands(n):
+        n2, k2 = band.cells
+        for round_ in range(ROUNDS):
+            own = rare if round_ == 0 else s
+            n1, place, names = layout(j, band, round_)
+            tag = np.uint64(1 + j + (round_ << 8))
+            h = mix(own ^ (tag << np.uint64(40)))
+            cell = (h % np.uint64(n1 * n2)).astype(np.int64)
+            order = np.argsort(cell)
+            at = cell[order]
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            total = np.zeros(n1 * n2, np.uint64)
+            if len(at):
+                total[at[begin]] = np.add.reduceat(mix(h + tag)[order], begin)
+            filled = np.zeros(n1 * n2, bool)
+            filled[at[begin]] = True
+            total, filled = total.reshape(n1, n2), filled.reshape(n1, n2)
+            last = round_ == ROUNDS - 1
+            for name, subset in zip(names, combinations(range(n2), n2 - k2), strict=True):
+                some = filled[:, subset].any(1) | last
+                out.append(mix(mix(total[:, subset].sum(1, dtype=np.uint64) + place) + name)[some])
+            if int((filled.sum(1) > k2).sum()) >= band.needed(n):
+                break
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -163,12 +220,19 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n, node, check, sketch: a row a document; no node without shingles."""
+def _nodes(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, h, n, node, check, sketch, sigs, leads, more: a row a document; no node without shingles.
+
+    Signatures stand with one document of each node of a task. ``leads`` has for
+    each the least node of the batch with that signature, null for that node
+    itself, and ``more`` whether others of the batch follow it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            n, node, check, sketches = [], [], [], []
+            n, node, check, sketches, sigs = [], [], [], [], []
             for t in b["text"].to_pylist():
                 s = shingles(t)
                 x, y = fingerprint(s) if len(s) else (None, None)
@@ -176,9 +240,35 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 node.append(x)
                 check.append(y)
                 sketches.append(sketch(s) if len(s) >= 4 else None)
-            yield pa.record_batch([b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "h", "n", "node", "check", "sketch"])
-
-    return map_arrow(docs.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, n long, node long, check long, sketch binary")
+                sigs.append(np.empty(0, np.int64) if len(s) < 4 or x in seen else signatures(s, shared.value).view(np.int64))
+                if x is not None:
+                    seen.add(x)
+            sizes = np.array([len(x) for x in sigs], np.int64)
+            flat = np.concatenate([np.empty(0, np.int64), *sigs])
+            own = np.repeat(np.array([x or 0 for x in node], np.int64), sizes)
+            order = np.lexsort((own, flat))
+            new = np.diff(flat[order], prepend=flat[order[:1]] - 1) != 0
+            start = np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
+            lead, follows, more = np.empty_like(own), np.empty(len(flat), bool), np.zeros(len(flat), bool)
+            lead[order], follows[order] = own[order][start], ~new
+            more[order[start[~new]]] = True
+            edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, x) for x in (pa.array(flat), pa.array(lead, mask=~follows), pa.array(more))]
+            yield pa.record_batch(
+                [b["doc_id"], b["h"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sketches, pa.binary()), *lists],
+                names=["doc_id", "h", "n", "node", "check", "sketch", "sigs", "leads", "more"],
+            )
+
+    return map_arrow(docs.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, n long, node long, check long, sketch binary, sigs array<long>, leads array<long>, more array<boolean>")
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """sig, least, node: the nodes of each signature that several have, with one that stands before each of them but the first."""
+    each = nodes.where(F.size("sigs") > 0).select("node", F.explode(F.arrays_zip("sigs", "leads", "more")).alias("x")).select("node", F.col("x.sigs").alias("sig"), F.col("x.leads").alias("lead"), F.col("x.more").alias("more"))
+    own = Window.partitionBy("sig")
+    leaders = each.where("lead IS NULL").select("sig", "node", "more", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"))
+    leaders = leaders.where("more OR least != most").select("sig", "least", "node")
+    return leaders.unionByName(each.where("lead IS NOT NULL").select("sig", F.col("lead").alias("least"), "node")).distinct()
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -198,54 +288,15 @@ def _common(docs: DataFrame) -> np.ndarray:
     return np.sort(value[np.lexsort((value, -count))[:MOST]])
 
 
-def _signed(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """sig, node: a row a signature, for one document of each node of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches):
-        seen: set[int] = set()
-        for b in batches:
-            sigs, nodes = [], []
-            for t in b["text"].to_pylist():
-                s = shingles(t)
-                if len(s) < 4:
-                    continue
-                node, _ = fingerprint(s)
-                if node in seen:
-                    continue
-                seen.add(node)
-                own = signatures(s, shared.value)
-                sigs.append(own)
-                nodes.append(np.full(len(own), node, np.int64))
-            if sigs:
-                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
-
-    return map_arrow(docs.select("text"), run, "sig long, node long")
-
-
-#: Bits of the map of wanted documents; beyond some ten million of them it lets others pass as well.
-MAP_BITS = 1 << 24
-
-
-def _map(ids: DataFrame) -> bytes:
-    """A bitmap of hashed ids, of fixed size: it saves the exchange of texts that nobody asks for."""
-    at = F.xxhash64("doc_id").bitwiseAND(MAP_BITS - 1)
-    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r.w] = r.bits
-    return out.tobytes()
-
-
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, s: the sets of the nodes that ``wanted`` has, each with a document's id."""
-    shared = docs.sparkSession.sparkContext.broadcast(_map(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("doc_id")))
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint64)
         for b in batches:
             at = b["at"].to_numpy()
-            some = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            some = np.flatnonzero(marked(bits, at))
             nodes, own = [], []
             for t in b["text"].take(pa.array(some)).to_pylist():
                 s = shingles(t)
@@ -254,7 +305,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     own.append(s.tobytes())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(own, pa.binary())], names=["node", "s"])
 
-    own = map_arrow(docs.select(F.xxhash64("doc_id").bitwiseAND(MAP_BITS - 1).alias("at"), "text"), run, "node long, s binary")
+    own = map_arrow(docs.select(bit(F.col("doc_id")).alias("at"), "text"), run, "node long, s binary")
     return own.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -294,14 +345,14 @@ GROUP = 2048
 
 
 def _spanning(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, node, label: the rows of groups with several labels. Many signatures have the same members: one of them stays."""
+    """sig, node, label, blocks: the rows of groups with several labels. Many signatures have the same members: one of them stays."""
     of = groups.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     spans = of.groupBy("sig").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"),
         F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"),
     )
     spans = spans.where("x != y").groupBy("c", "a", "b", "u", "v").agg(F.min("sig").alias("sig"))
-    return written(of.join(spans.select("sig"), "sig"), "rest")
+    return written(of.join(spans.select("sig", F.ceil(F.col("c") / GROUP).cast("int").alias("blocks")), "sig"), "rest")
 
 
 def _between(rest: DataFrame, named: DataFrame) -> DataFrame:
@@ -310,8 +361,7 @@ def _between(rest: DataFrame, named: DataFrame) -> DataFrame:
     A group (one signature) goes to tasks as pairs of blocks of ``GROUP`` rows,
     where only close pairs come out.
     """
-    sizes = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
-    own = rest.join(named.select("node", "n", "sketch"), "node").join(sizes, "sig")
+    own = rest.join(named.select("node", "n", "sketch"), "node")
     own = own.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("sig", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "label", "n", "sketch")
 
@@ -380,25 +430,24 @@ def join(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents with the least id of their component, and the empty ones, with all their columns; repeated rows once."""
-    own = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    gone = classes(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh")).distinct()
-    kept = own.join(gone, own["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (own["__h"] == gone["__hh"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "__h"]).select(docs.columns)
+    h = fresh(docs, "h")
+    own = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    gone = classes(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(fresh(own, "id")), F.col("h").alias(fresh(own, "hh"))).distinct()
+    left = own.join(gone, own["doc_id"].cast("long").eqNullSafe(F.col(gone.columns[0])) & (F.col(h) == F.col(gone.columns[1])), "left_anti")
+    return left.dropDuplicates(["doc_id", h]).select(docs.columns)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash of the text), n_shingles, component_id: a row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = written(_nodes(docs), "nodes")
+    nodes = written(_nodes(docs, _common(docs)), "nodes")
     # two different sets with one name would be joined wrongly: stop instead
     named = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
         F.when((F.min("check") != F.max("check")) | (F.min("n") != F.max("n")), F.raise_error(F.lit("two sets with one fingerprint"))).alias("clash"),
     )
     named = written(named, "named")
-    own = Window.partitionBy("sig")
-    groups = _signed(docs, _common(docs)).withColumns({"least": F.min("node").over(own), "most": F.max("node").over(own)})
-    groups = written(groups.where(F.col("least") != F.col("most")).select("sig", "least", "node").distinct(), "groups")
+    groups = written(_groups(nodes), "groups")
 
     # each node against the least of its groups, one round for the least of these, then the rest
     star = groups.where(F.col("node") != F.col("least")).select(F.col("node").alias("b"), F.col("least").alias("a")).distinct()
@@ -409,8 +458,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # Neighbours in a group by size, then by hash, join what the star has left apart: a linear number of pairs a round.
     for order in ((F.col("n"), F.col("node")), (F.xxhash64("node"),)):
-        rest = _spanning(groups, labels).join(named.select("node", "n"), "node")
-        by = Window.partitionBy("sig").orderBy(*order)
+        rest = _spanning(groups, labels).join(named.select("node", "n"), "node")  # in parts of some ``GROUP`` rows, so that no group is one task's
+        by = Window.partitionBy("sig", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).orderBy(*order)
         chain = rest.select("node", "label", F.lag("node").over(by).alias("other"), F.lag("label").over(by).alias("theirs")).where("label != theirs")
         chain = chain.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         chain = written(_close(chain, named), "chain")
