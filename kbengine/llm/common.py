@@ -28,7 +28,7 @@ def words_of(text: str) -> list[str]:
 
 #: Rows and bytes of one Arrow batch handed to Python; texts can be long.
 BATCH_ROWS = 1024
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -53,10 +53,7 @@ def kept(owner: str, make: Callable[[], object]):
 
 def release(owner: str = "") -> None:
     """Drop what other owners keep, and give the freed memory back to the system."""
-    gone = [k for k in _kept if k != owner]
-    if not gone:
-        return
-    for k in gone:
+    for k in [k for k in _kept if k != owner]:
         close = getattr(_kept.pop(k), "close", None)
         if close:
             close()
@@ -73,13 +70,16 @@ def give_back() -> None:
         pass
 
 
-def alone(owner: str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``f`` in a worker that first drops what other owners have left in it, and afterwards hands back what its batches took."""
+def alone(owner: str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` in a worker that first drops what other owners have left in it, and afterwards what its own batches have, unless the next task is to find it."""
 
     def run(batches):
         release(owner)
         yield from f(batches)
-        give_back()
+        if keep:
+            give_back()
+        else:
+            release()
 
     return run
 
@@ -113,10 +113,10 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``f`` over Arrow batches of bounded size; a worker keeps nothing of another module's."""
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: bool = False) -> DataFrame:
+    """``f`` over Arrow batches of bounded size. A worker keeps nothing from one task to the next, or with ``keep`` what is of the same module."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(alone(f.__module__, f), schema)
+    return df.mapInArrow(alone(f.__module__, f, keep), schema)
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -165,9 +165,10 @@ def bit(value: Column) -> Column:
     return F.xxhash64(value).bitwiseAND(MAP_BITS - 1)
 
 
-def bitmap(values: DataFrame) -> bytes:
-    """A bitmap, of fixed size, of the table's one column: what it lacks is in no row, so such rows need no exchange."""
-    words = values.select(bit(F.col(values.columns[0])).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+def bitmap(values: DataFrame, hashed: bool = False) -> bytes:
+    """A bitmap, of fixed size, of the table's one column: what it lacks is in no row, so such rows need no exchange. Values that are hashes already stand by their low bits."""
+    own = F.col(values.columns[0])
+    words = values.select((own.bitwiseAND(MAP_BITS - 1) if hashed else bit(own)).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
     out = np.zeros(MAP_BITS // 64, np.int64)
     for r in words.toLocalIterator():
         out[r.w] = r.bits

@@ -250,7 +250,7 @@ def holdings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _items(benchmark)
     asked = written(_windows(items), "windows")
     sizes = sorted((r.size, r.literal) for r in asked.select("size", "literal").distinct().collect())  # two for each size up to WINDOW
-    hits = _hits(own, sizes, _sieve(asked)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)))
+    hits = _hits(own, sizes, bitmap(asked.select("key"), hashed=True)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)))
     asked = asked.select("key", "item_id", "mark", "variant", "of")
     if asked.count() <= BROADCAST_ROWS:
         met = hits.join(F.broadcast(asked), "key")
@@ -291,16 +291,6 @@ def holdings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return map_arrow(both, check, "doc_id long, h long, items array<long>").where(F.size("items") > 0)
 
 
-def _sieve(asked: DataFrame) -> bytes:
-    """A bitmap, of fixed size, of the low bits of the windows' keys, which are hashes already."""
-    at = F.col("key").bitwiseAND(MAP_BITS - 1)
-    words = asked.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r.w] = r.bits
-    return out.tobytes()
-
-
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, kept, contaminated, item_ids (comma-joined): a row a document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))

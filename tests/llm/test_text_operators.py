@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -83,11 +85,11 @@ def test_bpe_equals_the_library(spark, make, clash, corpus, encoding):
 
 def test_memory_of_words_may_be_emptied(encoding, monkeypatch):
     v, enc = encoding
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 5)
     c = byte_bpe.Codec(v)
-    monkeypatch.setattr(byte_bpe, "KEPT_WORDS", 5)
     for t in ("one two three four five six", "seven eight one two", "nine, ten: one"):
-        (ids,) = c.encode([t])
-        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and c.decode([ids]) == [t.encode()]
+        ids, ends = c.encode(pa.array([t]))
+        assert ids.tolist() == enc.encode_ordinary(t) and c.decode(ids, ends)[0].tobytes() == t.encode()
 
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -131,6 +133,124 @@ def test_skip_chain_adds_repeated_forms(spark, make, clash):
         assert set(filter(None, said.split(","))) <= set(got[i].spans.split(","))
 
 
+def tree_of(rng, n):
+    """A small field without loops: the tokens, and chain, skip and place edges among them."""
+    edges = [(int(rng.integers(0, k)), k) for k in range(1, n)]
+    kind = rng.integers(0, 3, len(edges))
+    own = [np.array([e for e, k in zip(edges, kind) if k == j], np.int64).reshape(-1, 2) for j in range(3)]
+    label = np.where(rng.random(n) < 0.3, rng.integers(1, 5, n), 0)
+    return pii_crf.Graph(np.zeros(n, np.int64), np.arange(n), np.arange(n) + 1, rng.normal(size=(n, pii_crf.SHAPES)), label, label > 0, [""] * n, *own)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_marginals_equal_exact_ones_on_trees(seed):
+    rng = np.random.default_rng(seed)
+    g, k = tree_of(rng, 5), pii_crf.LABELS
+    m = pii_crf.Model(rng.normal(size=(pii_crf.SHAPES, k)) * 0.3, rng.normal(size=(k, k)), rng.normal(size=(k, k)), rng.normal(size=(k, k)), {})
+    unary = g.x @ m.unary
+    total = np.zeros((5, k))
+    for labels in np.ndindex(*[k] * 5):
+        if any(b and x != y for b, x, y in zip(g.base, labels, g.label)):
+            continue
+        z = sum(unary[i, x] for i, x in enumerate(labels))
+        z += sum(p[labels[a], labels[b]] for e, p in ((g.chain, m.chain), (g.skip, m.skip), (g.place, m.place)) for a, b in e)
+        for i, x in enumerate(labels):
+            total[i, x] += np.exp(z)
+    assert np.allclose(pii_crf.marginals(g, m), total / total.sum(1, keepdims=True), atol=5e-3)
+
+
+def test_masked_base_spans_are_found():
+    """Trained on some documents, the field finds the base spans of others without being told them."""
+    rng = random.Random(8)
+    num = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card(ok):
+        while True:
+            c = num(16)
+            if pii_crf.luhn(c) == ok:
+                return c
+
+    forms = [lambda: f"+1 ({num(3)}) 555-{num(4)}", lambda: f"a{num(2)}.b@mail.example.com", lambda: f"{rng.randint(1, 250)}.{rng.randint(1, 250)}.3.4", lambda: card(True), lambda: card(False), lambda: num(4), lambda: f"{num(1)}.{num(1)}", lambda: 'token = "' + "".join(rng.choices("0123456789abcdef", k=40)) + '"']
+    word = lambda: "".join(rng.choices("aeilnorst", k=rng.randint(3, 7)))
+    docs = [" ".join([word(), word(), rng.choice(forms)(), word(), word(), rng.choice(forms)(), word()]) for _ in range(900)]
+    model = pii_crf.train(docs[:600])
+    base = [pii_crf.base_spans(t) for t in docs[600:]]
+    g = pii_crf.graph(docs[600:], base)
+    p = pii_crf.marginals(g, model, clamp=False)
+    best, sure = p.argmax(1), p.max(1) >= pii_crf.SURE
+    for kind in range(1, pii_crf.LABELS):
+        own = g.label == kind
+        assert own.sum() >= 20 and ((best == kind) & sure)[own].mean() >= 0.9
+    assert ((best > 0) & sure & (g.label == 0)).sum() <= 0.02 * (g.label == 0).sum()
+
+
+def test_field_on_long_and_empty_input(spark, make):
+    rng = random.Random(4)
+    model = pii_crf.train([])
+    assert pii_crf.find(make([]).where("false"), pii_crf.fit(make([]).where("false"))).count() == 0
+    assert pii_crf.find(make([(1, "call 12 now")]), model).first().n_added == 0
+    text = " ".join(rng.choice(["call 555-%04d now", "mail a%d.b@mail.example.com it", "in %d it"]) % rng.randint(0, 9999) for _ in range(60_000))
+    began = time.process_time()
+    words = pii_crf.tokens(text)
+    pii_crf.covering(pii_crf.base_spans(text), words)
+    assert len(words) > 50_000 and time.process_time() - began < 10
+    assert pii_crf.one_apart("ab-12", "AB123") and pii_crf.one_apart("abc", "abd") and not pii_crf.one_apart("abc", "acb")
+
+
+def test_words_of_any_length(encoding):
+    v, enc = encoding
+    c, rng = byte_bpe.Codec(v), random.Random(5)
+    own = ["".join(rng.choices(a, k=n)) for a in ("abcdefgh", "ab", "etaoinshr", "é日") for n in (63, 64, 65, 400, 401, 2000)] + ["ab" * 900, "aab" * 700, "the" * 800, "." * 5000, "a" * 10_001]
+    ids, ends = c.encode(pa.array(own))
+    for t, x in zip(own, np.split(ids, ends[:-1])):
+        assert x.tolist() == enc.encode_ordinary(t)
+    back, last = c.decode(ids, ends)
+    assert [x.tobytes().decode() for x in np.split(back, last[:-1])] == own
+    with pytest.raises(ValueError):
+        c.decode(np.array([10**6]), np.array([1]))
+
+
+def noisy_or(model, text):
+    """By the definition: one minus the product of the sentences' chances to be clean."""
+    out = 1.0
+    for own in re.split(r"[.!?\n]", text.lower()):
+        words = re.findall(r"[^\W_]+", own)
+        if words:
+            feats = {f for w in words for f in ([w] + ([w[:4] + "-"] if len(w) > 4 else []) + ([w[:5] + "-"] if len(w) > 5 else []))}
+            out *= 1 - 1 / (1 + np.exp(-model.bias - sum(model.weights.get(f, 0) for f in feats)))
+    return 1 - out if re.search(r"[^\W_]", text) else 1 / (1 + np.exp(-model.bias))
+
+
+def test_scores_equal_a_plain_noisy_or(corpus):
+    rng = random.Random(3)
+    model = toxicity.Model(-5.0, {w: rng.uniform(-2, 5) for w in ("that", "thing", "ered", "erat-", "ndly", "nding-", "one", "heat", "x", "onble")})
+    scorer = toxicity.Scorer(model)
+    for t in [t or "" for _, t in corpus] + ["One two. that! Nding thing\n\n...", "x_that that", "long " * 100_000 + "thing"]:
+        assert abs(scorer.score(t)[0] - noisy_or(model, t)) < 1e-9
+
+
+def plain_score(forest, x):
+    """By the definition: the mean over trees of the path length at which a row falls out."""
+    lengths = []
+    for k in range(len(forest.feature)):
+        node = 0
+        while forest.left[k, node] != node:
+            node = forest.right[k, node] if x[forest.feature[k, node]] > forest.threshold[k, node] else forest.left[k, node]
+        lengths.append(forest.depth[k, node])
+    return 2 ** (-np.mean(lengths) / forest.usual)
+
+
+def test_forest_equals_a_plain_walk_and_finds_outliers():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    far = rng.normal(size=(20, 4)) + 8
+    forest = quality_rules.Forest.fit(x, np.stack([np.full(4, -12.0), np.full(4, 12.0)]), 50)
+    both = np.concatenate([x[:50], far])
+    got = forest.score(both)
+    assert np.allclose(got, [plain_score(forest, r) for r in both])
+    assert got[50:].min() > np.quantile(got[:50], 0.95)
+
+
 def test_toxicity_on_rows_held_out(spark):
     docs, labels = (queries.table(spark, SF, n) for n in ("documents", "labels"))
     got = {r.doc_id: r for r in queries.op8_toxicity_mil(spark, SF).collect()}
