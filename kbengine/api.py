@@ -85,8 +85,8 @@ class Bundle:
         drift, cites = self.diff(), self.citations()
         return {"affected": corpus.affected(cites, drift), "uncovered_new": corpus.uncovered_new(drift, cites), "stale_candidates": corpus.stale_candidates(cites, drift)}
 
-    def segment(self, budget: int = 50_000) -> DataFrame:
-        own = self.corpus().where("is_text AND NOT excluded")
+    def segment(self, budget: int = 50_000, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+        own = corpus.scoped(self.corpus().where("is_text AND NOT excluded"), include, exclude)
         return corpus.pack(corpus.chunk_files(own, budget).withColumn("corpus", F.lit("corpus")), budget)
 
     def glean(self) -> DataFrame:
@@ -98,7 +98,20 @@ class Bundle:
         return list(self.meta("lexicon").get("rows") or [])
 
     def query(self, text: str, n: int = 10, expand: bool = True, **filters) -> tuple[DataFrame, retrieval.Expansion]:
-        return retrieval.query(self.concepts(), self.lexicon(), text, n, expand, **filters)
+        return retrieval.query(self.index(), self.lexicon(), text, n, expand, **filters)
+
+    def index(self) -> retrieval.Index:
+        """The index of the bundle as it is; one that is stored under .cache is used while the bundle's files are the same."""
+        c = self.concepts()
+        state = c.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", "sha256"))), "\n").cast("binary"), 256)).first()[0]
+        home = f"{self.root}/.cache/index"
+        known = store.read(self.spark, f"{home}/state.json")
+        if known != T.canonical({"rules": RULES_VERSION, "state": state}):
+            own = retrieval.index(c, save=False)
+            own.postings.write.mode("overwrite").parquet(f"{home}/postings")
+            own.docs.write.mode("overwrite").parquet(f"{home}/docs")
+            store.write(self.spark, f"{home}/state.json", T.canonical({"rules": RULES_VERSION, "state": state}))
+        return retrieval.Index(self.spark.read.parquet(f"{home}/docs"), self.spark.read.parquet(f"{home}/postings"))
 
     def show(self, cid: str, section: str | None = None, most: int | None = None) -> str:
         if ".." in cid.split("/") or cid.startswith("/"):
@@ -310,17 +323,13 @@ class Bundle:
         return job
 
     def eval_run(self, n: int = 10, suite: str = "acceptance") -> DataFrame:
-        """qid, rank, id, score for every question of the suite, in one plan; pins are those of its expansion."""
+        """qid, rank, id, via, score for every question of the suite, in one plan; pins are those of its expansion."""
         if n < 1:
             raise ValueError("n must be at least 1")
         asked = self.meta("purpose").get("test_queries" if suite == "acceptance" else "adversarial_queries") or []
         texts = [q["query"] if isinstance(q, dict) else q for q in asked]
-        eff = {k: retrieval.expand(self.lexicon(), q) for k, q in enumerate(texts)}
-        idx = retrieval.pool(retrieval.index(self.concepts()))
-        if not any(e.pins for e in eff.values()):
-            return retrieval.bm25(idx, retrieval.ask(self.spark, {k: e.expanded_query for k, e in eff.items()}), n)
-        parts = [retrieval.search(idx, e.pins, e.expanded_query, n).select(F.lit(k).alias("qid"), "rank", "id", "score") for k, e in eff.items()]
-        return checks.union(*parts)
+        queries = retrieval.ask(self.spark, dict(enumerate(texts)))
+        return retrieval.searched(retrieval.pool(self.index()), retrieval.expanded(retrieval.lexicon_table(self.spark, self.lexicon()), queries), n)
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:

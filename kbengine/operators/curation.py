@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .graph import components
+from .similar import similar_names
 
 
 def cluster_edges(drafts: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -48,7 +49,7 @@ def risk_tags(concepts: DataFrame, citations: DataFrame, drift: DataFrame | None
     paths = citations.select("id", T.source_path(F.col("source")).alias("path"))
     weak = paths.groupBy("id").agg(F.countDistinct("path").alias("paths"))
     rare = concepts.groupBy("type").agg(F.count(F.lit(1)).alias("of_type"))
-    own = concepts.select("id", "type", "stale").join(weak, "id", "left").join(rare, "type")
+    own = concepts.select("id", "type", "stale").join(weak, "id", "left").join(rare.withColumnRenamed("type", "own"), F.col("type").eqNullSafe(F.col("own")))
     if drift is not None:
         hit = paths.join(drift.where(F.col("change").isin("changed", "removed")).select("path"), "path").select("id").distinct().withColumn("hit", F.lit(True))
         own = own.join(hit, "id", "left")
@@ -101,13 +102,8 @@ def repair(dangling_: DataFrame, concepts: DataFrame, least: float = 0.85) -> Da
     own = dangling_.withColumn("name", basename(F.col("dst"))).join(names, "name", "left")
     exact = own.where("n = 1").select("src", "pos", "dst", F.col("only").alias("suggestion"), F.lit("exact").alias("outcome"))
     clash = own.where("n > 1").select("src", "pos", "dst", F.lit(None).cast("string").alias("suggestion"), F.lit("ambiguous").alias("outcome"))
-    # similar basenames: blocked by pairs of characters, of which a ratio of 0.85 always leaves one in common
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    asked = own.where("n IS NULL").select("name").distinct()
-    left = asked.select("name", F.explode(grams(F.col("name"))).alias("g"))
-    right = names.select(F.col("name").alias("other"), "only", "n", F.explode(grams(F.col("name"))).alias("g"))
-    close = left.join(right, "g").where(2 * F.least(F.length("name"), F.length("other")) >= least * (F.length("name") + F.length("other"))).select("name", "other", "only", "n").distinct()
-    close = close.where(T.similar("name", "other") >= least).groupBy("name").agg(F.sum("n").alias("m"), F.min("only").alias("close"))
+    near = similar_names(own.where("n IS NULL").select("name"), names.select("name"), least)
+    close = near.join(names.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("m"), F.min("only").alias("close"))
     rest = own.where("n IS NULL").select("src", "pos", "dst", "name").join(close, "name", "left")
     fuzzy = rest.select("src", "pos", "dst", F.when(F.col("m") == 1, F.col("close")).alias("suggestion"), F.when(F.col("m") == 1, "fuzzy").when(F.col("m") > 1, "ambiguous").otherwise("unresolved").alias("outcome"))
     return exact.unionByName(clash).unionByName(fuzzy)

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .graph import components
+from .retrieval import Index, scores
+from .similar import similar_names
 
 RRF = 60
 
@@ -41,22 +43,17 @@ def expansion_terms(crosswalk: DataFrame, concepts: DataFrame, member: str, term
     return own.where(F.arrays_overlap("theirs", asked)).select(F.explode(F.array_except("names", asked)).alias("term")).distinct().orderBy("term")
 
 
-def member_ranks(indexes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def member_ranks(indexes: Index, queries: DataFrame, n: int) -> DataFrame:
     """qid, member, ref, rank (0-based), rrf: BM25 within each member, whose statistics are its own.
 
-    ``indexes`` has member, ref, ord, tokens. All members are scored in one plan:
-    a member is part of the query's key.
+    The index has member and ref beside the concepts' ids. All members are scored
+    in one plan: a member is part of the query's key, and of the terms where
+    ``queries`` has a member.
     """
-    terms = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    stats = indexes.groupBy("member").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("mean"))
-    hits = indexes.select("member", "ref", "ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("member", "ref", "ord", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
-    df = hits.groupBy("member", "term").agg(F.count(F.lit(1)).alias("n"))
-    f = F.col("f")
-    idf = F.log(1 + (F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    part = idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("mean")))
-    total = hits.join(df, ["member", "term"]).join(stats, "member").join(terms, "term").groupBy("qid", "member", "ref", "ord").agg(F.sum(F.col("times") * part).alias("score")).where("score > 0")
+    total = scores(indexes, queries, ("member",))
     rank = F.row_number().over(Window.partitionBy("qid", "member").orderBy(F.desc(F.round("score", 9)), "ord")) - 1
-    return total.withColumn("rank", rank).where(F.col("rank") < n).select("qid", "member", "ref", "rank", (1.0 / (RRF + F.col("rank") + 1)).alias("rrf"))
+    best = total.withColumn("rank", rank).where(F.col("rank") < n)
+    return best.join(indexes.docs.select("id", "ref"), "id").select("qid", "member", "ref", "rank", (1.0 / (RRF + F.col("rank") + 1)).alias("rrf"))
 
 
 def merge(ranked: DataFrame, roots: DataFrame, roles: DataFrame) -> DataFrame:
@@ -80,30 +77,32 @@ def pulled(top: DataFrame, roots: DataFrame, crosswalk: DataFrame, n: int = 5) -
     return dst.join(rows, "dst").select("qid", F.col("src").alias("ref")).distinct()
 
 
-def norms(concepts: DataFrame) -> DataFrame:
-    """member, ref, norm: normalised names of title and aliases."""
+def norms(concepts: DataFrame, *more: str) -> DataFrame:
+    """member, ref, norm, and ``more``: normalised names of title and aliases."""
     names = F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))
-    own = concepts.select("member", "ref", F.explode(F.array_distinct(F.transform(names, lambda x: F.array_join(T.tokenize(x), " ")))).alias("norm"))
+    own = concepts.select("member", "ref", *more, F.explode(F.array_distinct(F.transform(names, lambda x: F.array_join(T.tokenize(x), " ")))).alias("norm"))
     return own.where("norm != ''")
 
 
-def candidates_exact(concepts: DataFrame) -> DataFrame:
-    """src, dst: concepts of two members (in roster order) that share a normalised name."""
-    n = norms(concepts.where(~T.parse_ref(F.col("ref"))[1].startswith("meta/")))
-    right = n.select(F.col("member").alias("m2"), F.col("ref").alias("dst"), "norm")
-    return n.join(right, "norm").where("member < m2").select(F.col("ref").alias("src"), "dst").distinct()
-
+def _finals(concepts: DataFrame, roster: list[str] | None) -> DataFrame:
+    """Concepts outside meta/ with the place of their member in the roster, or by its name."""
+    own = concepts.where(~T.parse_ref(F.col("ref"))[1].startswith("meta/"))
+    place = F.array_position(F.array(*map(F.lit, roster)), F.col("member")) if roster else F.dense_rank().over(Window.orderBy("member"))
+    places = own.select("member").distinct().withColumn("place", place)  # a row a member
+    return own.join(F.broadcast(places), "member")
 
-def candidates_fuzzy(concepts: DataFrame, least: float = 0.85) -> DataFrame:
-    """src, dst: other pairs whose titles are similar.
-
-    A ratio of 0.85 needs lengths within 0.739 of each other and common
-    characters; pairs are blocked by title tokens, so only those that share one
-    are compared.
-    """
-    own = concepts.select("member", "ref", F.lower("title").alias("t"), F.explode(F.array_distinct(T.tokenize(F.col("title")))).alias("token"))
-    other = own.select(F.col("member").alias("m2"), F.col("ref").alias("dst"), F.col("t").alias("t2"), "token")
-    pairs = own.join(other, "token").where("member < m2").select(F.col("ref").alias("src"), "dst", "t", "t2").distinct()
-    pairs = pairs.where(2 * F.least(F.length("t"), F.length("t2")) >= least * (F.length("t") + F.length("t2")))
-    return pairs.where(T.similar("t", "t2") >= least).select("src", "dst").join(candidates_exact(concepts), ["src", "dst"], "left_anti")
 
+def candidates_exact(concepts: DataFrame, roster: list[str] | None = None) -> DataFrame:
+    """src, dst: concepts of two members (in roster order) that share a normalised name."""
+    n = norms(_finals(concepts, roster), "place")
+    right = n.select(F.col("place").alias("p2"), F.col("ref").alias("dst"), "norm")
+    return n.join(right, "norm").where("place < p2").select(F.col("ref").alias("src"), "dst").distinct()
+
+
+def candidates_fuzzy(concepts: DataFrame, least: float = 0.85, roster: list[str] | None = None) -> DataFrame:
+    """src, dst: other pairs of two members, in roster order, whose titles' joined tokens are similar; none is lost."""
+    own = _finals(concepts, roster).select("ref", "place", F.array_join(T.tokenize(F.col("title")), " ").alias("name")).where("name != ''")
+    near = similar_names(own, own, least)
+    a = near.join(own.select(F.col("name").alias("a"), F.col("ref").alias("src"), "place"), "a")
+    both = a.join(own.select(F.col("name").alias("b"), F.col("ref").alias("dst"), F.col("place").alias("p2")), "b").where("place < p2")
+    return both.select("src", "dst").join(candidates_exact(concepts, roster), ["src", "dst"], "left_anti")

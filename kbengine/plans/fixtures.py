@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import retrieval
+from ..operators.retrieval import Index
+
+#: The index last built, by session, folder and state of its files.
+_INDEXES: dict[tuple, Index] = {}
 
 
 class Tables:
@@ -25,12 +30,25 @@ class Tables:
         labels = self.read("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
         return self.read("documents").select("doc_id", "text", "lang", "source").join(labels, "doc_id", "left")
 
+    @property
+    def index(self) -> Index:
+        """The index of all concepts with their members, written once for the session and the state of the files."""
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/documents.parquet")
+        state = files.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(files)
+        stamps = [files.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(files).getModificationTime(), state.getLength(), state.getFileCount()]
+        key = (self.spark.sparkContext.applicationId, self.dir, *stamps)
+        if key not in _INDEXES:
+            _INDEXES.clear()
+            _INDEXES[key] = retrieval.index(self.members, "member", "ref", "role")
+        return _INDEXES[key]
+
     @property
     def concepts(self) -> DataFrame:
-        toks = T.tokenize(F.col("text"))
-        return self.docs.select(
+        # bound to a variable, the tokens are taken once for both
+        names = F.transform(F.array(T.tokenize(F.col("text"))), lambda t: F.struct(F.array_join(F.slice(t, 1, 6), " ").alias("title"), F.array_join(F.slice(t, 7, 12), " ").alias("description")))[0]
+        return self.docs.withColumn("names", names).select(
             concept_id("doc_id", "lang").alias("id"), "doc_id", F.col("lang").alias("type"), F.array("source").alias("tags"),
-            F.array_join(F.slice(toks, 1, 6), " ").alias("title"), F.array_join(F.slice(toks, 7, 12), " ").alias("description"),
+            F.col("names.title").alias("title"), F.col("names.description").alias("description"),
             F.array().cast("array<string>").alias("aliases"), F.col("text").alias("body"), (F.coalesce("toxic", F.lit(0)) == 1).alias("stale"),
         )
 
@@ -87,9 +105,8 @@ class Tables:
     @property
     def members(self) -> DataFrame:
         """Concepts in four members; the last has the role of constraints."""
-        own = F.concat(F.lit("m"), (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 4).cast("string"))
-        c = self.concepts.join(self.read("documents").select("doc_id", "source"), "doc_id")
-        return c.withColumn("member", own).withColumn("ref", F.concat("member", F.lit(":"), "id")).withColumn("role", F.when(F.col("member") == "m3", "constraints").otherwise("knowledge"))
+        own = F.concat(F.lit("m"), (F.regexp_extract(F.col("tags")[0], r"(\d+)$", 1).cast("int") % 4).cast("string"))
+        return self.concepts.withColumn("source", F.col("tags")[0]).withColumn("member", own).withColumn("ref", F.concat("member", F.lit(":"), "id")).withColumn("role", F.when(F.col("member") == "m3", "constraints").otherwise("knowledge"))
 
     @property
     def crosswalk(self) -> DataFrame:
@@ -103,8 +120,8 @@ class Tables:
 
     @property
     def asked(self) -> DataFrame:
-        """qid, terms: the first six tokens of each benchmark item."""
-        return self.read("benchmark").select(F.col("item_id").alias("qid"), F.slice(T.tokenize(F.col("text")), 1, 6).alias("terms"))
+        """qid, text, terms: the benchmark's items as questions, whole."""
+        return self.read("benchmark").select(F.col("item_id").alias("qid"), "text", T.tokenize(F.col("text")).alias("terms"))
 
     @property
     def risky(self) -> DataFrame:
@@ -181,7 +198,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "mh": (("members",), "SELECT ref, member, role, type, split_part(title, ' ', 1) AS start, sha256(body) AS h FROM members"),
     "same": (("mh",), "SELECT l.src, m.ref AS dst FROM mh m JOIN (SELECT h, min(ref) AS src FROM mh GROUP BY h) l USING (h) WHERE m.ref <> l.src"),
     "bound": (("mh",), "SELECT m.ref AS src, f.dst, CASE WHEN m.type = 'de' THEN 'proposed' ELSE 'accepted' END AS status FROM mh m JOIN (SELECT start, min(ref) AS dst FROM mh WHERE role = 'knowledge' GROUP BY start) f USING (start) WHERE m.role = 'constraints'"),
-    "asked": ((), f"SELECT item_id AS qid, ({TOK.format('text')})[1:6] AS terms FROM benchmark"),
+    "asked": ((), f"SELECT item_id AS qid, text, {TOK.format('text')} AS terms FROM benchmark"),
     "times": (("asked",), "SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(terms) AS term FROM asked) GROUP BY ALL"),
     "toks": (
         ("members",),

@@ -37,7 +37,7 @@ def tokenize_stats(t: Tables) -> DataFrame:
 
 @query(sql("SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM toks) GROUP BY ALL", "toks"))
 def weighted_field_tf(t: Tables) -> DataFrame:
-    return retrieval.index(t.concepts).select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return t.index.postings.select("id", "term", F.col("f").alias("tf"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))::BIGINT AS n_links, len(list_filter(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), lambda x: x LIKE 'http%'))::BIGINT AS n_outside FROM pages")
@@ -115,7 +115,29 @@ def char_windows(t: Tables) -> DataFrame:
     return corpus.char_windows(t.files, 1000)
 
 
-@query()
+_CHUNKS = """
+s AS (SELECT path, text, bytes // 4 AS est, CASE WHEN text = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM files),
+big AS (SELECT path, text, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM s WHERE est > 1000),
+l AS (SELECT path, i, trim(line, ' ' || chr(9) || chr(13)) = '' AS blank, sum(length(line) // 4) OVER w AS p, sum(length(line) + 1) OVER w AS c, length(text) AS chars FROM big WINDOW w AS (PARTITION BY path ORDER BY i)),
+t AS (SELECT path, count(*) AS lines, max(p) AS total, greatest(2, ceil(max(p) / 1000))::BIGINT AS n, coalesce(max(i) FILTER (blank), -1) AS last, any_value(chars) AS chars FROM l GROUP BY path),
+r(path, k, lo) AS (
+  SELECT path, 0::BIGINT, 0::BIGINT FROM t
+  UNION ALL
+  SELECT r.path, r.k + 1, arg_min(l.i, (abs(l.p - t.total * (r.k + 1) / t.n), l.i)) FROM r JOIN t USING (path) JOIN l ON l.path = r.path AND l.i > r.lo AND CASE WHEN t.last > r.lo THEN l.blank ELSE l.i <= t.lines - 2 END
+  WHERE r.k + 1 < t.n GROUP BY r.path, r.k),
+e AS (SELECT path, CASE WHEN k = 0 THEN 0 ELSE lo + 1 END AS a FROM r),
+b AS (SELECT path, a, coalesce(lead(a) OVER (PARTITION BY path ORDER BY a), lines) AS z, lines, chars AS whole FROM e JOIN t USING (path)),
+m AS (SELECT b.path, a, z, coalesce(q.p, 0) AS p0, x.p AS p1, coalesce(q.c, 0) AS c0, CASE WHEN z = lines THEN whole ELSE x.c END AS c1 FROM b LEFT JOIN l q ON q.path = b.path AND q.i = a - 1 JOIN l x ON x.path = b.path AND x.i = z - 1 WHERE z > a),
+o AS (
+  SELECT path, 'lines' AS kind, a + 1 AS "start", z AS "end", greatest(1, p1 - p0) AS tokens_est, a, 0 AS w FROM m WHERE p1 - p0 <= 1000
+  UNION ALL
+  SELECT path, 'chars', w + 1, least(w + 4000, c1), greatest(1, (least(w + 4000, c1) - w) // 4), a, w FROM (SELECT *, unnest(range(c0::BIGINT, c1::BIGINT, 4000)) AS w FROM m WHERE p1 - p0 > 1000))
+SELECT path, 0 AS pos, 'file' AS kind, NULL::BIGINT AS "start", NULL::BIGINT AS "end", greatest(1, est)::BIGINT AS tokens_est FROM s WHERE est <= 1000
+UNION ALL SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a, w) - 1)::INT, kind, "start"::BIGINT, "end"::BIGINT, tokens_est::BIGINT FROM o
+"""
+
+
+@query(sql(_CHUNKS, "files", recursive=True))
 def line_chunks(t: Tables) -> DataFrame:
     return corpus.chunk_files(t.files, 1000)
 
@@ -165,12 +187,12 @@ def _ranked(top: DataFrame) -> DataFrame:
 
 @query(sql(_bm25("true", 10) + " SELECT qid, rank::INT AS rank, id, round(score, 6) AS score FROM top WHERE rank <= 10", "toks", "times", recursive=True))
 def bm25_batch_topk(t: Tables) -> DataFrame:
-    return _ranked(retrieval.bm25(retrieval.pool(retrieval.index(t.concepts)), t.asked, 10))
+    return _ranked(retrieval.bm25(retrieval.pool(t.index), t.asked, 10))
 
 
 @query(sql(_bm25("type = 'en' AND NOT stale", 10) + " SELECT qid, rank::INT AS rank, id, round(score, 6) AS score FROM top WHERE rank <= 10", "toks", "times", recursive=True))
 def bm25_filtered_topk(t: Tables) -> DataFrame:
-    return _ranked(retrieval.bm25(retrieval.pool(retrieval.index(t.concepts), type_="en", include_stale=False), t.asked, 10))
+    return _ranked(retrieval.bm25(retrieval.pool(t.index, type_="en", include_stale=False), t.asked, 10))
 
 
 ASK = "the of and threlyes"
@@ -179,7 +201,7 @@ _ONE = "times AS (SELECT 0 AS qid, term, count(*) AS times FROM (SELECT unnest([
 
 @query(sql(_ONE + _bm25("true", 10) + " SELECT rank::INT AS rank, id, NULL::VARCHAR AS via, round(score, 6) AS score FROM top WHERE rank <= 10", "toks", recursive=True))
 def bm25_topk(t: Tables) -> DataFrame:
-    top, _ = retrieval.query(t.concepts, [], ASK, 10)
+    top, _ = retrieval.query(t.index, [], ASK, 10)
     return top.select("rank", "id", "via", F.round("score", 6).alias("score"))
 
 
@@ -200,7 +222,7 @@ _PINNED = "times AS (SELECT 0 AS qid, term, count(*) AS times FROM (SELECT unnes
     )
 )
 def lexicon_pinned_topk(t: Tables) -> DataFrame:
-    top, _ = retrieval.query(t.concepts, LEXICON, ASK, 10)
+    top, _ = retrieval.query(t.index, LEXICON, ASK, 10)
     return top.select("rank", "id", "via", F.round("score", 6).alias("score"))
 
 
@@ -211,7 +233,7 @@ def links_backlinks(t: Tables) -> DataFrame:
 
 @query(sql("SELECT * FROM (SELECT id, type, title, description, (count(*) OVER ())::BIGINT AS total FROM concepts WHERE type = 'fr' ORDER BY split(id || '.md', '/') LIMIT 20)", "concepts"))
 def overview(t: Tables) -> DataFrame:
-    own, total = retrieval.overview(retrieval.index(t.concepts), "fr", 20)
+    own, total = retrieval.overview(t.index, "fr", 20)
     return own.crossJoin(F.broadcast(total))
 
 
@@ -227,7 +249,7 @@ def eval_status(t: Tables) -> DataFrame:
 
 @query(sql(_bm25("true", 5) + " SELECT a.qid, coalesce(bool_or(t.id = 'en/doc_' || lpad((a.qid * 7)::VARCHAR, 12, '0')), false) AS outcome FROM asked a LEFT JOIN top t ON t.qid = a.qid AND t.rank <= 5 GROUP BY a.qid", "toks", "times", "asked", recursive=True))
 def adversarial_outcome(t: Tables) -> DataFrame:
-    top = retrieval.bm25(retrieval.index(t.concepts), t.asked, 5).groupBy("qid").agg(F.collect_list("id").alias("ids"))
+    top = retrieval.bm25(t.index, t.asked, 5).groupBy("qid").agg(F.collect_list("id").alias("ids"))
     concept = F.concat(F.lit("en/doc_"), F.lpad((F.col("qid") * 7).cast("string"), 12, "0"))
     none = F.array().cast("array<string>")
     return t.asked.select("qid").join(top, "qid", "left").select("qid", retrieval.adversarial(F.lit("covered"), concept, F.coalesce("ids", none), none).alias("outcome"))
@@ -246,12 +268,7 @@ _RRF = _bm25("true", 10, True) + ", rrf AS (SELECT qid, member, id AS ref, rank
 
 @query(sql(_RRF + " SELECT qid, member, ref, rank::INT AS rank, round(rrf, 9) AS rrf FROM rrf", "toks", "times", recursive=True))
 def rrf_federated_topk(t: Tables) -> DataFrame:
-    return federation.member_ranks(_indexes(t), t.asked, 10).select("qid", "member", "ref", "rank", F.round("rrf", 9).alias("rrf"))
-
-
-def _indexes(t: Tables) -> DataFrame:
-    m = t.members
-    return m.select("member", "ref", T.path_key(F.col("id")).alias("ord"), T.weighted_tokens(F.col("title"), F.col("aliases"), F.col("tags"), F.col("description"), F.col("body")).alias("tokens"))
+    return federation.member_ranks(t.index, t.asked, 10).select("qid", "member", "ref", "rank", F.round("rrf", 9).alias("rrf"))
 
 
 _MERGED = _RRF + """, root AS (SELECT dst AS ref, src AS root FROM same UNION ALL SELECT DISTINCT src, src FROM same),
@@ -263,7 +280,7 @@ placed AS (SELECT qid, role, root, ref, score, array_to_string(list_sort(list_fi
 def _placed(t: Tables, n: int) -> tuple[DataFrame, DataFrame]:
     roots = federation.same_as(t.crosswalk)
     roles = t.members.select("member", "role").distinct()
-    return federation.split(federation.merge(federation.member_ranks(_indexes(t), t.asked, 10), roots, roles), n), roots
+    return federation.split(federation.merge(federation.member_ranks(t.index, t.asked, 10), roots, roles), n), roots
 
 
 @query(sql(_MERGED + " SELECT qid, role, place::INT AS place, ref, round(score, 9) AS score, duplicates FROM placed WHERE place <= 10", "toks", "times", "same", recursive=True))
@@ -304,9 +321,10 @@ def dangling_links(t: Tables) -> DataFrame:
     return curation.dangling(t.links, t.concepts).select("src", "pos", "dst")
 
 
-@query(sql("SELECT id FROM concepts WHERE id NOT IN (SELECT dst FROM links WHERE pos = 1)", "links", "concepts"))
+@query(sql("SELECT id FROM (SELECT id FROM concepts UNION ALL SELECT upper(id) FROM concepts WHERE stale) WHERE id NOT IN (SELECT dst FROM links)", "links", "concepts"))
 def orphans(t: Tables) -> DataFrame:
-    return curation.orphans(t.links.where("pos = 1"), t.concepts)
+    c = t.concepts
+    return curation.orphans(t.links, c.select("id").unionByName(c.where("stale").select(F.upper("id").alias("id"))))
 
 
 _BROKEN = "SELECT id AS src, 0 AS pos, 'moved/' || split_part(id, '/', 2) AS dst FROM concepts"
@@ -435,7 +453,7 @@ def injection_counts(t: Tables) -> DataFrame:
 
 @query(sql(_bm25("true", 1) + ", z AS (SELECT path, greatest(1, bytes // 4) AS tokens FROM files) SELECT t.qid, (1000 + sum(coalesce(z.tokens, 0)))::BIGINT AS best, bool_or(z.tokens IS NULL) AS incomplete FROM top t LEFT JOIN cites c ON c.id = t.id LEFT JOIN z ON z.path = split_part(c.source, '#', 1) WHERE rank <= 1 GROUP BY t.qid", "toks", "times", "cites", "files", recursive=True))
 def naive_cost(t: Tables) -> DataFrame:
-    top = retrieval.bm25(retrieval.index(t.concepts), t.asked, 1).select("qid", "id")
+    top = retrieval.bm25(t.index, t.asked, 1).select("qid", "id")
     return reports.navigation(top, t.citations, t.files.select("path", T.size_estimate(F.col("bytes")).alias("tokens")), 1000)
 
 

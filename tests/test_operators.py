@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kbengine.functions import text as T
 from kbengine.operators import checks, corpus, curation, federation, graph, release, reports, retrieval
+from kbengine.operators.similar import similar_names
 from kbengine.sources import bundle
 
 CONCEPT = "id string, type string, title string, description string, tags array<string>, aliases array<string>, body string, stale boolean"
@@ -21,23 +22,29 @@ def collected(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_bm25_equals_plain_python(spark):
-    rng = random.Random(1)
-    docs = [(f"d/{i}", "x", " ".join(rng.choices("abcde", k=2)), (), " ".join(rng.choices("abcdefgh", k=rng.randint(0, 30)))) for i in range(40)]
-    text = "a b a zz"
+def brute_bm25(docs, terms):
+    """(id, score) of the documents with an asked term, best first."""
     toks = {i: 3 * title.split() + body.split() for i, _, title, _, body in docs}
     mean = sum(map(len, toks.values())) / len(toks)
 
     def score(own):
         out = 0.0
-        for q in text.split():
+        for q in terms:
             n = sum(q in t for t in toks.values())
             f = own.count(q)
             out += math.log(1 + (len(toks) - n + 0.5) / (n + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(own) / mean))
         return out
 
-    want = sorted(((i, score(t)) for i, t in toks.items()), key=lambda x: (-round(x[1], 9), f"{x[0]}.md".split("/")))[:7]
-    top, eff = retrieval.query(concepts(spark, *docs), [], text, 7)
+    every = [(i, score(t)) for i, t in toks.items()]
+    return sorted((x for x in every if x[1] > 0), key=lambda x: (-round(x[1], 9), f"{x[0]}.md".split("/")))
+
+
+def test_bm25_equals_plain_python(spark):
+    rng = random.Random(1)
+    docs = [(f"d/{i}", "x", " ".join(rng.choices("abcde", k=2)), (), " ".join(rng.choices("abcdefgh", k=rng.randint(0, 30)))) for i in range(40)]
+    text = "a b a zz"
+    want = brute_bm25(docs, text.split())[:7]
+    top, eff = retrieval.query(retrieval.index(concepts(spark, *docs)), [], text, 7)
     got = [(r.id, r.score) for r in top.orderBy("rank").collect()]
     assert [g[0] for g in got] == [w[0] for w in want]
     assert all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want, strict=True))
@@ -45,21 +52,89 @@ def test_bm25_equals_plain_python(spark):
 
 
 def test_equal_scores_come_in_path_order(spark):
-    top, _ = retrieval.query(concepts(spark, ("a-b", "x", "q", (), ""), ("a/b", "x", "q", (), "")), [], "q")
+    top, _ = retrieval.query(retrieval.index(concepts(spark, ("a-b", "x", "q", (), ""), ("a/b", "x", "q", (), ""))), [], "q")
     assert [r.id for r in top.orderBy("rank").collect()] == ["a/b", "a-b"]
 
 
 def test_pins_outside_the_pool_go_and_pins_leave_the_statistics(spark):
     rows = [{"term": "q r", "status": "accepted", "maps_to": ["gone", "p"], "canonical_terms": ["s"]}]
-    top, eff = retrieval.query(concepts(spark, ("p", "x", "q", (), ""), ("r", "x", "s", (), "")), rows, "q r")
+    top, eff = retrieval.query(retrieval.index(concepts(spark, ("p", "x", "q", (), ""), ("r", "x", "s", (), "")), save=False), rows, "q r")
     assert [(r.id, r.via) for r in top.orderBy("rank").collect()] == [("p", "lexicon"), ("r", None)]
     assert eff.expanded_query == "q r s"
 
 
-def test_longer_terms_claim_first():
+def test_longer_terms_claim_first(spark):
     rows = [{"term": "net", "status": "ambiguous", "maps_to": ["a", "b"]}, {"term": "safety net", "status": "not-covered"}]
-    assert retrieval.expand(rows, "the safety net").notes == ["'safety net' is not covered"]
-    assert len(retrieval.expand(rows, "safety net and net").notes) == 2
+    assert retrieval.expand(rows, "the safety net", spark).notes == ["'safety net' is not covered"]
+    assert len(retrieval.expand(rows, "safety net and net", spark).notes) == 2
+    with pytest.raises(Exception, match="unknown lexicon status"):
+        retrieval.expand([{"term": "x", "status": "odd"}], "an x", spark)
+    assert retrieval.expand([{"term": "x", "status": "odd"}, {"term": " ", "status": "accepted", "maps_to": ["p"]}], "a  b", spark) == retrieval.Expansion([], "a  b", [])
+
+
+def claimed(terms, text):
+    """By brute force: the numbers of the terms that get a place."""
+    taken, out = set(), set()
+    for k in sorted(range(len(terms)), key=lambda k: -len(terms[k])):
+        for at in range(len(text) - len(terms[k]) + 1):
+            own = set(range(at, at + len(terms[k])))
+            if text[at : at + len(terms[k])] == terms[k] and not own & taken:
+                taken |= own
+                out.add(k)
+    return out
+
+
+def test_expansions_equal_brute_force(spark):
+    rng = random.Random(2)
+    terms = ["".join(rng.choices("ab ", k=rng.randint(1, 4))) for _ in range(14)]
+    rows = [{"term": t, "status": "accepted", "maps_to": [f"p{k % 5}"], "canonical_terms": [f"c{k}"]} for k, t in enumerate(terms)]
+    texts = {q: "".join(rng.choices("ab c", k=rng.randint(0, 14))) for q in range(40)}
+    got = {r.qid: r for r in retrieval.expanded(retrieval.lexicon_table(spark, rows), retrieval.ask(spark, texts)).collect()}
+    for q, text in texts.items():
+        hit = [k for k in sorted(claimed(terms, text)) if terms[k].strip()] if not any(not t.strip() for t in terms) else sorted(claimed([t if t.strip() else "\0" for t in terms], text))
+        assert got[q].pins == list(dict.fromkeys(f"p{k % 5}" for k in hit))
+        assert got[q].expanded_query == " ".join([text, *(f"c{k}" for k in hit)])
+
+
+def test_many_questions_with_pins_equal_one_by_one(spark):
+    rng = random.Random(3)
+    docs = [(f"d{k}", rng.choice("xyz"), " ".join(rng.choices("abcde", k=3)), (), " ".join(rng.choices("abcde", k=rng.randint(0, 9)))) for k in range(20)]
+    idx = retrieval.index(concepts(spark, *docs))
+    rows = [{"term": "a b", "status": "accepted", "maps_to": ["d3", "gone", "d7"], "canonical_terms": ["e"]}, {"term": "c", "status": "accepted", "maps_to": ["d7", "d1"]}]
+    texts = {0: "a b c", 1: "c", 2: "d e", 3: "a b", 4: "nothing", 5: ""}
+    many = retrieval.searched(retrieval.pool(idx), retrieval.expanded(retrieval.lexicon_table(spark, rows), retrieval.ask(spark, texts)), 6).collect()
+    for q, text in texts.items():
+        pins = [p for p in retrieval.expand(rows, text, spark).pins if p != "gone"]
+        rest = [d for d in docs if d[0] not in pins]
+        terms = retrieval.expand(rows, text, spark).expanded_query.split()
+        want = brute_bm25(rest, terms)[: max(0, 6 - len(pins))]
+        got = sorted((r.rank, r.id, r.score) for r in many if r.qid == q)
+        assert [g[1] for g in got] == pins + [w[0] for w in want]
+        assert all(abs(g[2] - w[1]) < 1e-9 for g, w in zip(got[len(pins) :], want, strict=True))
+
+
+def test_similar_names_lose_none(spark):
+    rng = random.Random(4)
+    names = ["fees", "feies", "abc", "abxc", "colour", "color", "kubernetes", "kubernets", "retention policies", "retentions policy", "", "a", "ab", None]
+    for _ in range(60):
+        own = list("".join(rng.choices("abcd ", k=rng.randint(2, 24))))
+        names.append("".join(own))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(own) + 1)
+            own[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        names.append("".join(own))
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for least in (0.85, 0.9):
+        want = {(a, b) for a in names for b in names if a and b and a != b and T.similarity(a, b) >= least}
+        got = [(r.a, r.b) for r in similar_names(df, df, least).collect()]
+        assert set(got) == want and len(got) == len(want) and len(want) > 15
+
+
+def test_repair_finds_similar_basenames(spark):
+    ids = spark.createDataFrame([("x/fees",), ("x/abc",), ("y/terms",), ("z/terms",), ("y/terns2",)], "id string")
+    broken = spark.createDataFrame([("s", 0, "old/feies"), ("s", 1, "old/abxc"), ("s", 2, "old/terms"), ("s", 3, "old/none"), ("s", 4, "old/term")], "src string, pos int, dst string")
+    got = {r.pos: (r.suggestion, r.outcome) for r in curation.repair(broken, ids).collect()}
+    assert got == {0: ("x/fees", "fuzzy"), 1: ("x/abc", "fuzzy"), 2: (None, "ambiguous"), 3: (None, "unresolved"), 4: (None, "ambiguous")}
 
 
 def test_text_functions(spark):
@@ -98,11 +173,39 @@ def test_drift_and_merge(spark):
     assert [(r.final, r.drafts) for r in curation.merge_groups(led).collect()] == [("y", ["d1", "d2"])]
 
 
+def plain_chunks(text, budget):
+    """The rule, word for word: see the survey's section 10."""
+    lines = text.splitlines()
+    t = [len(x) // 4 for x in lines]
+    upto = lambda i: sum(t[:i])
+    n, cuts = max(2, -(-sum(t) // budget)), []
+    for k in range(1, n):
+        lo = cuts[-1] if cuts else 0
+        some = [i for i, x in enumerate(lines) if i > lo and not x.strip()] or list(range(lo + 1, len(lines) - 1))
+        if not some:
+            break
+        cuts.append(min(some, key=lambda i: (abs(upto(i + 1) - sum(t) * k / n), i)))
+    out = []
+    for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(lines)]):
+        if b > a and sum(t[a:b]) > budget:
+            start = sum(len(x) + 1 for x in lines[:a])
+            end = len(text) if b == len(lines) else sum(len(x) + 1 for x in lines[:b])
+            out += [("chars", i + 1, min(i + 4 * budget, end), max(1, (min(i + 4 * budget, end) - i) // 4)) for i in range(start, end, 4 * budget)]
+        elif b > a:
+            out.append(("lines", a + 1, b, max(1, sum(t[a:b]))))
+    return out
+
+
 def test_chunks_and_packing(spark):
-    assert corpus.line_chunks("aaaa\n" * 6 + "\n" + "bbbb\n" * 6, 8)[0][:2] == ("lines", 1)
-    for text, budget in (("x" * 400, 10), ("abcd\n" * 100, 20), ("\n" * 50 + "z" * 100, 5)):
-        parts = corpus.line_chunks(text, budget)
-        assert all(t <= budget for *_, t in parts)
+    assert corpus.line_chunks("abc\n" * 40, 5) == [("lines", 1, 2, 1), ("lines", 3, 40, 1)]
+    rng = random.Random(1)
+    for _ in range(400):
+        text = "".join(rng.choice(["", " ", "abcd" * rng.randint(0, 6), "x"]) + rng.choice(["\n", "\n", "\n\n", ""]) for _ in range(rng.randint(0, 30)))
+        for budget in (1, 3, 10):
+            assert corpus.line_chunks(text, budget) == plain_chunks(text, budget)
+    paths = spark.createDataFrame([("a/b.lock",), ("a/b.md",), ("c/x.min.js",), ("node_modules/a.md",), ("c/yarn.lock",), ("A.PNG",), ("src/a/t.py",)], "path string")
+    assert [r.path for r in paths.where(~corpus.excluded(F.col("path"))).orderBy("path").collect()] == ["a/b.md", "src/a/t.py"]
+    assert [r.path for r in corpus.scoped(paths, ("src/*", "a/*.md"), ("*b.md",)).collect()] == ["src/a/t.py"]
     entries = spark.createDataFrame([("c", f"{i:02d}", 0, t) for i, t in enumerate([4, 4, 4, 20, 1, 1])], "corpus string, path string, pos int, tokens_est long")
     assert [r.segment for r in corpus.pack(entries, 10).orderBy("path").collect()] == [1, 1, 2, 3, 4, 4]
 
