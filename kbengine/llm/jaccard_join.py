@@ -40,6 +40,7 @@ table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
@@ -51,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHash, bit, bitmap, fresh, kept, map_arrow, marked, mix, sampled, windows, written
+from .common import WordHash, bit, bitmap, discard, fresh, kept, map_arrow, marked, mix, sampled, windows, written
 
 K = 5
 #: A band's largest size, times that of the band before.
@@ -327,7 +328,8 @@ def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs a, b that are similar enough, by their whole sets."""
     pairs = written(pairs, "close")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, written(nodes.join(named, "node").select("node", "doc_id"), "wanted"))
+    wanted = written(nodes.join(named, "node").select("node", "doc_id"), "wanted")
+    sets = _sets(docs, wanted)
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
 
@@ -337,7 +339,9 @@ def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.record_batch([keep["a"], keep["b"]], names=["a", "b"])
 
-    return written(map_arrow(x.select("a", "b", "sa", "sb"), run, "a long, b long"), "verified")
+    out = written(map_arrow(x.select("a", "b", "sa", "sb"), run, "a long, b long"), "verified")
+    discard(pairs, wanted)
+    return out
 
 
 #: Rows of a group that are compared in one go; larger groups are compared in blocks.
@@ -346,7 +350,7 @@ GROUP = 2048
 
 def _spanning(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, node, label, blocks: the rows of groups with several labels. Many signatures have the same members: one of them stays."""
-    of = groups.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    of = groups.select("sig", "node").join(labels.select("node", "label"), "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     spans = of.groupBy("sig").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"),
         F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"),
@@ -418,9 +422,12 @@ def components(links: DataFrame) -> DataFrame:
         new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = written(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
-        if new.where("label != old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        settled = new.where("label != old").isEmpty()
+        discard(labels)
+        labels = new
+        if settled:
+            discard(both)
+            return labels
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -440,39 +447,52 @@ def representatives(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash of the text), n_shingles, component_id: a row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = written(_nodes(docs, _common(docs)), "nodes")
+    signed = written(_nodes(docs, _common(docs)), "signed")
+    nodes = written(signed.select("doc_id", "h", "n", "node"), "nodes")
     # two different sets with one name would be joined wrongly: stop instead
-    named = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
+    named = signed.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
         F.when((F.min("check") != F.max("check")) | (F.min("n") != F.max("n")), F.raise_error(F.lit("two sets with one fingerprint"))).alias("clash"),
     )
     named = written(named, "named")
-    groups = written(_groups(nodes), "groups")
+    groups = written(_groups(signed), "groups")
+    discard(signed)
 
     # each node against the least of its groups, one round for the least of these, then the rest
     star = groups.where(F.col("node") != F.col("least")).select(F.col("node").alias("b"), F.col("least").alias("a")).distinct()
     close = written(_close(star, named), "star")
     tried = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    links = _verified(docs, named, tried)
-    labels = components(links)
+    discard(close)
+    links = [_verified(docs, named, tried)]
+    labels = components(links[0])
+    done = [tried]
+
+    def more(pairs: DataFrame, name: str) -> None:
+        """Verify pairs that haven't been tried, and join what they link."""
+        nonlocal labels
+        known = functools.reduce(DataFrame.unionByName, done)
+        new = written(pairs.join(known, ["a", "b"], "left_anti"), name)
+        if new.isEmpty():
+            discard(new)
+            return
+        links.append(_verified(docs, named, new))
+        old, labels = labels, components(functools.reduce(DataFrame.unionByName, links))
+        discard(old)
+        done.append(new)
 
     # Neighbours in a group by size, then by hash, join what the star has left apart: a linear number of pairs a round.
     for order in ((F.col("n"), F.col("node")), (F.xxhash64("node"),)):
-        rest = _spanning(groups, labels).join(named.select("node", "n"), "node")  # in parts of some ``GROUP`` rows, so that no group is one task's
+        spanning = _spanning(groups, labels)
+        rest = spanning.join(named.select("node", "n"), "node")  # in parts of some ``GROUP`` rows, so that no group is one task's
         by = Window.partitionBy("sig", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).orderBy(*order)
         chain = rest.select("node", "label", F.lag("node").over(by).alias("other"), F.lag("label").over(by).alias("theirs")).where("label != theirs")
-        chain = chain.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        chain = written(_close(chain, named), "chain")
-        if not chain.isEmpty():
-            links = links.unionByName(_verified(docs, named, chain))
-            labels = components(links)
-            tried = tried.unionByName(chain)
+        more(_close(chain.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), named), "chain")
+        discard(spanning)
     # what still spans several components: every pair of different components that may be similar is verified
-    more = _between(_spanning(groups, labels), named).join(tried, ["a", "b"], "left_anti")
-    more = written(more, "more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(docs, named, more))
-        labels = components(links)
+    spanning = _spanning(groups, labels)
+    more(_between(spanning, named), "between")
+    discard(spanning, groups, *done, *links)
+    labels = labels.select("node", "label")
 
     found = nodes.join(labels, "node", "left").select("doc_id", "h", "n", F.coalesce("label", "node").alias("label"))
     least = named.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), "doc_id", "clash").groupBy("label").agg(F.min("doc_id").alias("least"), F.max("clash").alias("clash"))
