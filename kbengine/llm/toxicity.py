@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, sampled, texts
+from .common import column, give_back, map_arrow, sampled, texts
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
@@ -72,10 +72,10 @@ def train(docs: list[tuple[str, int]], steps: int = 500, l1: float = 1e-4, min_d
     y = np.array([v for _, v in docs], float)
     if not len(y) or len(set(y)) < 2:
         return Model()
-    split = [bags(t) for t, _ in docs]
+    # texts are split twice, since the features of all of them would take more memory than the texts by far
     met: dict[str, list[int]] = {}
-    for doc, label in zip(split, y, strict=True):
-        for w in set().union(*doc):
+    for text, label in docs:
+        for w in set().union(*bags(text)):
             c = met.setdefault(w, [0, 0])
             c[0] += 1
             c[1] += label == 1
@@ -84,9 +84,10 @@ def train(docs: list[tuple[str, int]], steps: int = 500, l1: float = 1e-4, min_d
     words = sorted((w for w, z in stand.items() if z >= 4), key=lambda w: (-stand[w], w))[:most]
     vocab = {w: i for i, w in enumerate(words)}
     word, sent, owner = [], [], []
-    for d, doc in enumerate(split):
-        for s in doc:
-            own = [vocab[w] for w in s if w in vocab]
+    del met, stand
+    for d, (text, _) in enumerate(docs):
+        for s in bags(text):
+            own = sorted(vocab[w] for w in s if w in vocab)
             word.extend(own)
             sent.extend([len(owner)] * len(own))
             owner.append(d)
@@ -172,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_char
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = sampled(own, sample_rows, "doc_id")
     rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(own), "doc_id").orderBy("doc_id", F.xxhash64("text"), "text").select("text", "toxic").limit(2 * sample_rows).collect()
-    return train(sorted((r.text, r.toxic) for r in rows))
+    model = train(sorted((r.text, r.toxic) for r in rows))
+    del rows
+    give_back()
+    return model
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:
