@@ -35,11 +35,11 @@ from .common import kept, map_arrow
 #: Words from this length on are contracted by ``ENCODE_LONG``; both queries give the same ids.
 LONG = 64
 #: Bytes of the words that one query contracts.
-BYTES_A_QUERY = 1 << 17
+BYTES_A_QUERY = 1 << 18
 #: Bytes of texts that are encoded, and values that are gathered, at a time.
-TEXT_BYTES, A_TIME = 2 << 20, 1 << 18
+TEXT_BYTES, A_TIME = 3 << 20, 1 << 18
 #: Bytes of keys and values that a worker keeps for each direction before it forgets them all.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 48 << 20
 
 ENCODE = """
 WITH RECURSIVE state(word, ids, n) USING KEY (word) AS (
@@ -237,11 +237,18 @@ class Codec:
         fresh = self.encoded.missing(keys)
         if not fresh:
             return
-        tokens = [self.pretokens(k[1:] if k[:1] == WHOLE else k if k[:1] == "\n" else " " + k) for k in fresh]
-        words = pa.array(chain.from_iterable(tokens), pa.string()).dictionary_encode()
+        # plain words behind a space are a pre-token each; the others are split
+        own = pa.array(fresh, pa.string())
+        plain = pc.match_substring_regex(own, "^[A-Za-z]+$")
+        fresh = own.filter(plain).to_pylist() + own.filter(pc.invert(plain)).to_pylist()
+        n = pc.sum(plain).as_py() or 0
+        tokens = [self.pretokens(k[1:] if k[:1] == WHOLE else k if k[:1] == "\n" else " " + k) for k in fresh[n:]]
+        alone = pc.binary_join_element_wise(pa.scalar(" "), own.filter(plain), "")
+        words = pa.concat_arrays([alone, pa.array(chain.from_iterable(tokens), pa.string())]).dictionary_encode()
         sizes, ids = self.contracted(words.dictionary.to_pylist())
         flat, ends = _gather(ids, np.concatenate([[0], np.cumsum(sizes)]), words.indices.to_numpy())
-        last = np.concatenate([[0], ends])[np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))]
+        counts = np.concatenate([np.ones(n, np.int64), np.fromiter(map(len, tokens), np.int64, len(tokens))])
+        last = np.concatenate([[0], ends])[np.cumsum(counts)]
         self.encoded.add(fresh, np.diff(last, prepend=0), flat)
 
     def _pieces(self, texts: pa.Array) -> pa.ListArray:
