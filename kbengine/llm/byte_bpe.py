@@ -38,7 +38,7 @@ LONG = 64
 BYTES_A_QUERY = 1 << 18
 #: Bytes of texts that are encoded, and values that are gathered, at a time.
 TEXT_BYTES, A_TIME = 3 << 20, 1 << 18
-#: Bytes of keys and values that a worker keeps for each direction before it forgets them all.
+#: Bytes of keys and values that a worker keeps for each direction before it forgets what it used least.
 KEPT_BYTES = 48 << 20
 
 ENCODE = """
@@ -78,7 +78,7 @@ SELECT word, ids FROM state ORDER BY word
 """
 #: One thread keeps the subquery's order, so that the aggregate takes the bytes by position.
 DECODE = """
-SELECT piece, string_agg(hex, '') AS hex
+SELECT piece, unhex(string_agg(hex, '')) AS bytes
 FROM (SELECT p.piece, v.hex
       FROM (SELECT piece, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM pieces) p
       JOIN vocabulary v USING (id) ORDER BY p.piece, p.pos)
@@ -108,36 +108,51 @@ class Vocabulary:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines()) if a}
 
 
+#: What an entry of ``Kept`` takes besides its key and values: the dictionary's entry, the number, the edge and the uses.
+ENTRY = 150
+
+
 class Kept:
-    """Arrays by key, one behind the other in one array; all are forgotten beyond ``most`` bytes."""
+    """Arrays by key, one behind the other in one array; beyond ``most`` bytes the least used are forgotten."""
 
     def __init__(self, kind: type, most: int):
         self.kind, self.most = kind, most
-        self.forget()
-
-    def forget(self) -> None:
         self.place: dict = {}
-        self.edge, self.data = np.zeros(1, np.int64), np.empty(0, self.kind)
+        self.edge, self.data = np.zeros(1, np.int64), np.empty(0, kind)
+        self.uses = np.empty(0, np.int32)
         self.bytes = 0
 
+    def shrink(self) -> None:
+        """Keep what was taken twice or more, the most used first, up to half of the bound; uses count half from then on."""
+        keys = list(self.place)
+        size = np.fromiter(map(len, keys), np.int64, len(keys)) + np.diff(self.edge) * self.data.itemsize + ENTRY
+        order = np.argsort(-self.uses, kind="stable")
+        order = np.sort(order[(np.cumsum(size[order]) <= self.most // 2) & (self.uses[order] >= 2)])
+        self.place = {keys[k]: n for n, k in enumerate(order.tolist())}
+        self.data, ends = _gather(self.data, self.edge, order)
+        self.edge = np.concatenate([[0], ends]).astype(np.int64)
+        self.uses = self.uses[order] // 2
+        self.bytes = int(size[order].sum())
+
     def add(self, keys: list, sizes: np.ndarray, values: np.ndarray) -> None:
         n = len(self.place)
         self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
         self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(sizes)])
         self.data = np.concatenate([self.data, values.astype(self.kind)])
-        # an entry of the dictionary, its key and number, and the edge take about 150 bytes besides
-        self.bytes += sum(map(len, keys)) + 150 * len(keys) + values.nbytes
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int32)])
+        self.bytes += sum(map(len, keys)) + ENTRY * len(keys) + len(values) * self.data.itemsize
 
     def missing(self, keys: list) -> list:
-        """Which of the distinct keys aren't known. Everything is forgotten first where the bound is passed."""
+        """Which of the distinct keys aren't known. The least used are forgotten first where the bound is passed."""
         if self.bytes > self.most:
-            self.forget()
+            self.shrink()
         return [k for k in keys if k not in self.place]
 
     def take(self, keys: list, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The arrays of ``keys[i]`` for each i, one behind the other, and where each ends."""
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[index]
-        return _gather(self.data, self.edge, at)
+        """The arrays of ``keys[i]`` for each i, one behind the other, and where each ends; the keys are distinct."""
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        self.uses[at] += 1
+        return _gather(self.data, self.edge, at[index])
 
 
 class Codec:
@@ -298,8 +313,9 @@ class Codec:
             edges = np.concatenate([[0], np.cumsum([len(b) // 4 for b in part])]).astype(np.int32)
             own = np.frombuffer(b"".join(part), np.int32)
             self.db.register("pieces", pa.table({"piece": np.arange(len(part), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(edges), pa.array(own))}))
-            back = [bytes.fromhex(h) for h in _table(self.db.sql(DECODE))["hex"].to_pylist()]
-            self.decoded.add(part, np.array([len(b) for b in back], np.int64), np.frombuffer(b"".join(back), np.uint8))
+            back = pc.cast(_table(self.db.sql(DECODE))["bytes"], pa.large_binary()).combine_chunks()
+            start = np.frombuffer(back.buffers()[1], np.int64)[back.offset : back.offset + len(back) + 1]
+            self.decoded.add(part, np.diff(start), np.frombuffer(back.buffers()[2], np.uint8)[start[0] : start[-1]])
         out, last = self.decoded.take(keys, pieces.indices.to_numpy())
         return out, np.concatenate([[0], last])[np.searchsorted(at, ends)]
 
