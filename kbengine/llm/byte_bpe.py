@@ -88,8 +88,10 @@ GROUP BY piece ORDER BY piece
 ODD = "  |\n | \n|\n\n|[\t\r\v\f\x01\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Marks what stands for itself among the keys; other keys follow a space.
 WHOLE = "\x01"
-#: Word ends that are a pre-token of their own.
-POINTS = frozenset(".,;:!?")
+#: Letters in the pattern's sense, whatever the version of Unicode.
+LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+#: A letter, and the signs behind it up to a space or the end: they are a pre-token of their own.
+SIGNS = f"({LATIN})([!-/:-@\\[-`{{-~]+)( |$)"
 
 
 @dataclass(frozen=True)
@@ -186,7 +188,7 @@ class Codec:
         self.known = np.zeros(max(bytes_of) + 1, dtype=bool)
         for i, b in bytes_of.items():
             self.known[i] = True
-            self.starts[i] = b[:1] in (b" ", b"\n")
+            self.starts[i] = b < b"\x80" and not b[:1].isalnum()
         #: Whether any token has the two bytes side by side.
         self.beside = np.zeros(1 << 16, dtype=bool)
         for b in ranks:
@@ -239,14 +241,9 @@ class Codec:
         return np.bincount(owner, weights=sizes[back], minlength=len(words)).astype(np.int64), _gather(ids, edge, back)[0]
 
     def pretokens(self, raw: str) -> list[str]:
-        """The pre-tokens of a piece; most are a word, with a space before or a point behind."""
+        """The pre-tokens of a piece; most are a word, with a space before or without."""
         word = raw[1:] if raw[:1] == " " else raw
-        if word.isascii():
-            if word.isalpha():
-                return [raw]
-            if word[-1:] in POINTS and word[:-1].isalpha():
-                return [raw[:-1], raw[-1]]
-        return self.split(raw)
+        return [raw] if word.isascii() and word.isalpha() else self.split(raw)
 
     def learn(self, keys: list[str]) -> None:
         fresh = self.encoded.missing(keys)
@@ -254,7 +251,7 @@ class Codec:
             return
         # plain words behind a space are a pre-token each; the others are split
         own = pa.array(fresh, pa.string())
-        plain = pc.match_substring_regex(own, "^[A-Za-z]+$")
+        plain = pc.match_substring_regex(own, f"^{LATIN}+$")
         fresh = own.filter(plain).to_pylist() + own.filter(pc.invert(plain)).to_pylist()
         n = pc.sum(plain).as_py() or 0
         tokens = [self.pretokens(k[1:] if k[:1] == WHOLE else k if k[:1] == "\n" else " " + k) for k in fresh[n:]]
@@ -267,9 +264,9 @@ class Codec:
         self.encoded.add(fresh, np.diff(last, prepend=0), flat)
 
     def _pieces(self, texts: pa.Array) -> pa.ListArray:
-        """The keys of texts in which single spaces and line feeds are all the white space there is."""
-        marked = pc.binary_join_element_wise(pa.scalar(WHOLE), texts, "")
-        return pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        """The keys of texts in which single spaces and line feeds are all the white space there is; signs behind words are keys."""
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(WHOLE), texts, ""), "\n", " \n")
+        return pc.split_pattern(pc.replace_substring_regex(marked, SIGNS, rf"\1 {WHOLE}\2\3"), " ")
 
     def encode(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text behind the other, and where each text ends.
@@ -296,7 +293,7 @@ class Codec:
         return (np.concatenate(out) if out else np.empty(0, np.int32)), np.cumsum([len(x) for x in out], dtype=np.int64)
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes of the texts, and where each text ends. Pieces that start at a token with a space or line feed are decoded once."""
+        """All bytes of the texts, and where each text ends. Pieces that start at a token with a space, line feed or sign are decoded once."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
             raise ValueError("an id that the vocabulary lacks")
         begins = np.concatenate([[0], ends[:-1]])[ends > np.concatenate([[0], ends[:-1]])] if len(ends) else ends
