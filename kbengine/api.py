@@ -169,6 +169,12 @@ class Bundle:
             parts += [checks.source_existence(cites, self.manifest(), strict), checks.anchors(cites, self.corpus().where("is_text"), strict)]
         if rules:
             parts.append(checks.archetype(c, rules))
+        if self.lexicon():
+            parts.append(checks.lexicon(retrieval.lexicon_table(self.spark, self.lexicon()), c))
+        if self.meta("extraction-plan"):
+            if self.meta("corpus"):
+                parts.append(checks.outside_scope(cites, self.segments(), self.manifest()))
+            parts.append(checks.provenance(self.job_marks(), self.log_rows("ledger", LEDGER), strict))
         purpose = self.meta("purpose")
         own = checks.acceptance(purpose.get("acceptance"), len(purpose.get("test_queries") or []), len(purpose.get("adversarial_queries") or []))
         parts.append(self.spark.createDataFrame([("error", code, "meta/purpose", m) for code, m in own], "level string, code string, path string, message string"))
@@ -205,6 +211,16 @@ class Bundle:
         texts = {n: store.read(self.spark, f"{self.root}/meta/jobs/{n}.json") for n in sorted(names)}
         return self.spark.createDataFrame([(n, json.loads(t)["digest"]) for n, t in texts.items() if t], "segment string, digest string")
 
+    def job_marks(self) -> DataFrame:
+        """segment, digest, recomputed, prompt_sha256, prompt_now: what the frozen jobs say and what holds now."""
+        rows = []
+        for r in self.jobs().collect():  # a small file a planned segment
+            job = json.loads(store.read(self.spark, f"{self.root}/meta/jobs/{r.segment}.json"))
+            prompt = store.read(self.spark, f"{self.root}/{job['prompt_path']}")
+            again = T.digest({k: v for k, v in job.items() if k != "digest"}, compact=True)
+            rows.append((r.segment, job["digest"], again, job["prompt_sha256"], None if prompt is None else hashlib.sha256(prompt.encode()).hexdigest()))
+        return self.spark.createDataFrame(rows, "segment string, digest string, recomputed string, prompt_sha256 string, prompt_now string")
+
     def dissent_states(self, ledger: DataFrame) -> DataFrame:
         """group, state: whether each merged group's adjudication holds."""
         groups = curation.merge_groups(ledger.where("merge_map IS NOT NULL"))

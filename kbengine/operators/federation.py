@@ -48,11 +48,21 @@ def member_ranks(indexes: Index, queries: DataFrame, n: int) -> DataFrame:
 
     The index has member and ref beside the concepts' ids. All members are scored
     in one plan: a member is part of the query's key, and of the terms where
-    ``queries`` has a member.
+    ``queries`` has a member. Where it has ``pins`` as well, ids of the member's, these
+    come first, and BM25 ranks the rest.
     """
-    total = scores(indexes, queries, ("member",))
-    rank = F.row_number().over(Window.partitionBy("qid", "member").orderBy(F.desc(F.round("score", 9)), "ord")) - 1
-    best = total.withColumn("rank", rank).where(F.col("rank") < n)
+    ranks = Window.partitionBy("qid", "member")
+    if "pins" in queries.columns:
+        pins = queries.select("qid", "member", F.posexplode("pins").alias("k", "id"))
+        fixed = pins.join(indexes.docs.select("id", "member"), ["id", "member"], "left_semi")
+        fixed = fixed.groupBy("qid", "member", "id").agg(F.min("k").alias("k"))
+        total = scores(indexes, queries, ("member",), fixed.select("qid", "id"))
+        places = total.select("qid", "member", "id", F.lit(1).alias("tier"), F.row_number().over(ranks.orderBy(F.desc(F.round("score", 9)), "ord")).alias("k"))
+        both = places.unionByName(fixed.withColumn("tier", F.lit(0)))
+        best = both.withColumn("rank", F.row_number().over(ranks.orderBy("tier", "k")) - 1).where(F.col("rank") < n).drop("tier", "k")
+    else:
+        total = scores(indexes, queries, ("member",))
+        best = total.withColumn("rank", F.row_number().over(ranks.orderBy(F.desc(F.round("score", 9)), "ord")) - 1).where(F.col("rank") < n)
     return best.join(indexes.docs.select("id", "ref"), "id").select("qid", "member", "ref", "rank", (1.0 / (RRF + F.col("rank") + 1)).alias("rrf"))
 
 
