@@ -275,3 +275,20 @@ def test_null_and_clashing_columns_in_toxicity(spark, make, clash, corpus):
     kept = toxicity.keep(docs, m)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t in corpus if not re.search(r"\bthat\b", (t or "").lower()))
+
+
+def test_signs_behind_words_and_small_memory(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 20_000)
+    vocabulary = queries.vocabulary()
+    codec = byte_bpe.Codec(vocabulary)
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.parse(), special_tokens={})
+    some, letters = random.Random(7), list("aZé.,'’!?&_-#s dtm\n \x01×÷ª²9ß中😀`~{@ \t lvre")
+    for _ in range(20):
+        texts = ["".join(some.choice(letters) for _ in range(some.randrange(60))) for _ in range(100)] + ["word. it's, l'eau!! (so) a'. x_y_ ciónñ&&&", ""]
+        ids, ends = codec.encode(pa.array(texts))
+        assert [x.tolist() for x in byte_bpe._split(ids, ends)] == [plain.encode_ordinary(t) for t in texts]
+        assert [x.tobytes().decode() for x in byte_bpe._split(*codec.decode(ids, ends))] == texts
+    # a batch's own words may stand above the bound; the next one forgets the least used, and known ones keep their values
+    codec.encoded.missing([])
+    assert codec.encoded.bytes <= 20_000 and len(codec.encoded.place) == len(codec.encoded.uses) == len(codec.encoded.edge) - 1
+    codec.close()
