@@ -32,6 +32,14 @@ def _grams(name: str) -> set[tuple[str, int]]:
     return out
 
 
+def _within(names: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """The names of a size that a similar one of ``others`` may have: none without others, before any name is taken apart."""
+    size = F.length("name")
+    sizes = others.select(size.alias("n")).where("n > 0").distinct()
+    fits = sizes.select(F.explode(F.sequence(F.ceil(least * F.col("n") / (2 - least) - 1e-9), F.floor((2 - least) * F.col("n") / least + 1e-9)).cast("array<int>")).alias("size")).distinct()
+    return names.withColumn("size", size).join(F.broadcast(fits), "size", "left_semi").select("name")  # a row a size
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
     """a, b: different names of ``left`` and ``right`` (each with ``name``) whose ratio is ``least`` or more; ``least`` is 0.85 or over.
 
@@ -45,6 +53,8 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = 0.85) -> Dat
     """
     if least < 0.85:
         raise ValueError("below 0.85 chunks of two characters may all be changed")
+    left, right = left.select("name"), right.select("name")
+    left, right = _within(left, right, least), _within(right, left, least)
     every = left.select("name", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(right.select("name", F.lit(False).alias("l"), F.lit(True).alias("r")))
     names = every.where(F.length("name") >= 2).groupBy("name").agg(F.max("l").alias("l"), F.max("r").alias("r")).withColumn("size", F.length("name"))
     parts = lambda q: F.transform(F.sequence(F.lit(1), F.col("size") - q + 1), lambda i: F.substring(F.col("name"), i, F.lit(q)))

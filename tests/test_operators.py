@@ -137,6 +137,15 @@ def test_repair_finds_similar_basenames(spark):
     assert got == {0: ("x/fees", "fuzzy"), 1: ("x/abc", "fuzzy"), 2: (None, "ambiguous"), 3: (None, "unresolved"), 4: (None, "ambiguous")}
 
 
+def test_similar_names_of_none_takes_no_other_apart(spark):
+    names = spark.range(300).selectExpr("concat('doc_', lpad(id, 12, '0')) AS name")
+    out = similar_names(names.where("name = 'other'"), names)
+    assert out.collect() == []
+    final = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    # what was found empty as the stages ran, so that the names' parts were never joined
+    assert "EmptyRelation" in final or "LocalTableScan <empty>" in final
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("Ärger x_1 a-b", "## A b\n\ntext :ok: NumPy / Lists\n# NumPy / Lists\n## C\nz")], "t string, b string")
     r = df.select(T.tokenize(F.col("t")).alias("k"), T.section(F.col("b"), "a B").alias("s"), T.section(F.col("b"), "none").alias("n"), T.heading_slugs(F.col("b")).alias("h")).first()
