@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .graph import components
+from .graph import components, stored
 from .retrieval import Index, scores
-from .similar import similar_names
+from .similar import similar_names, tasks
 
 RRF = 60
 
@@ -102,6 +102,24 @@ def _finals(concepts: DataFrame, roster: list[str] | None) -> DataFrame:
     return own.join(F.broadcast(places), "member")
 
 
+#: Refs of one name and member at most that meet others in one row of work.
+GROUP = 512
+
+
+def _groups(named: DataFrame) -> DataFrame:
+    """name, place, part, items: refs with what else is beside them, in groups of about ``GROUP``."""
+    often = named.groupBy("name", "place").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    part = F.pmod(F.xxhash64("ref"), F.col("parts")).alias("part")
+    return named.join(often, ["name", "place"]).groupBy("name", "place", part).agg(F.collect_list(F.struct("ref", "norms")).alias("items"))
+
+
+def _expanded(met: DataFrame) -> DataFrame:
+    """a, b: every ref of the one group with every one of the other; groups are dealt out anew, so that no name is one task's."""
+    dealt = met.repartition(tasks(met), "x.name", "x.place", "x.part", "y.name", "y.place", "y.part")
+    one = dealt.select(F.col("x.name").alias("x"), F.col("y.name").alias("y"), F.explode("x.items").alias("a"), F.col("y.items").alias("items"))
+    return one.select("x", "y", "a", F.explode("items").alias("b"))
+
+
 def candidates_exact(concepts: DataFrame, roster: list[str] | None = None) -> DataFrame:
     """src, dst: concepts of two members (in roster order) that share a normalised name."""
     n = norms(_finals(concepts, roster), "place")
@@ -111,8 +129,13 @@ def candidates_exact(concepts: DataFrame, roster: list[str] | None = None) -> Da
 
 def candidates_fuzzy(concepts: DataFrame, least: float = 0.85, roster: list[str] | None = None) -> DataFrame:
     """src, dst: other pairs of two members, in roster order, whose titles' joined tokens are similar; none is lost."""
-    own = _finals(concepts, roster).select("ref", "place", F.array_join(T.tokenize(F.col("title")), " ").alias("name")).where("name != ''")
+    finals = _finals(concepts, roster).select("member", "ref", "place", "title", "aliases")
+    names = norms(finals.where(F.size("aliases") > 0)).groupBy("ref").agg(F.collect_set("norm").alias("norms"))
+    own = finals.select("ref", "place", F.array_join(T.tokenize(F.col("title")), " ").alias("name")).where("name != ''").join(names, "ref", "left")
+    own = stored(own, "names")
+    groups = _groups(own)
     near = similar_names(own, own, least)
-    a = near.join(own.select(F.col("name").alias("a"), F.col("ref").alias("src"), "place"), "a")
-    both = a.join(own.select(F.col("name").alias("b"), F.col("ref").alias("dst"), F.col("place").alias("p2")), "b").where("place < p2")
-    return both.select("src", "dst").join(candidates_exact(concepts, roster), ["src", "dst"], "left_anti")
+    met = near.join(groups.alias("x"), F.expr("a = x.name")).join(groups.alias("y"), F.expr("b = y.name AND x.place < y.place"))
+    norms_of = lambda c, name: F.coalesce(f"{c}.norms", F.array(name))
+    exact = (F.col("a.norms").isNotNull() | F.col("b.norms").isNotNull()) & F.arrays_overlap(norms_of("a", "x"), norms_of("b", "y"))
+    return _expanded(met).where(~exact).select(F.col("a.ref").alias("src"), F.col("b.ref").alias("dst"))

@@ -1,35 +1,21 @@
-"""Pairs of similar names, without comparing all pairs and without losing one."""
+"""Pairs of similar names: all whose sizes allow it are compared by bits, and none is lost."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-
-def _changed(size: Column, least: float) -> Column:
-    """How many characters of a name and of one that is no longer are outside their equal blocks, at most."""
-    return F.floor((1 - least) * 2 * size + 1e-9)
-
-
-def _chunk(size: Column, least: float) -> Column:
-    """Three characters, if so many disjoint chunks of a name are more than may be changed, else two."""
-    return F.when(F.floor(size / 3) > _changed(size, least), 3).otherwise(2)
-
-
-def _grams(name: str) -> set[tuple[str, int]]:
-    """Every two neighbouring characters, numbered where they repeat."""
-    seen: dict[str, int] = {}
-    out = set()
-    for two in map("".join, zip(name, name[1:], strict=False)):
-        seen[two] = seen.get(two, 0) + 1
-        out.add((two, seen[two]))
-    return out
+#: Names a block; the pairs of two blocks are one row of work.
+BLOCK = 4096
+#: 64-bit words of a name's bits: for its characters and for its pairs of neighbouring ones.
+CHARS, PAIRS = 2, 4
 
 
 def _within(names: DataFrame, others: DataFrame, least: float) -> DataFrame:
@@ -40,50 +26,121 @@ def _within(names: DataFrame, others: DataFrame, least: float) -> DataFrame:
     return names.withColumn("size", size).join(F.broadcast(fits), "size", "left_semi").select("name")  # a row a size
 
 
+def _bits(parts: Iterable[str], words: int) -> bytes:
+    """A bit for each part and how often it came before."""
+    seen: dict[str, int] = {}
+    out = 0
+    for x in parts:
+        k = seen[x] = seen.get(x, 0) + 1
+        out |= 1 << zlib.crc32(f"{k}{x}".encode()) % (64 * words)
+    return out.to_bytes(8 * words, "little")
+
+
+def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names = b["names"].to_pylist()
+        chars = [b"".join(_bits(x, CHARS) for x in own) for own in names]
+        pairs = [b"".join(_bits(map("".join, zip(x, x[1:], strict=False)), PAIRS) for x in own) for own in names]
+        yield pa.record_batch([b["block"], b["names"], pa.array(chars, pa.binary()), pa.array(pairs, pa.binary())], names=["block", "names", "chars", "pairs"])
+
+
+class Block:
+    """Names of one size with their bits and characters."""
+
+    def __init__(self, names: list[str], chars: bytes, pairs: bytes):
+        self.names, self.size = names, len(names[0])
+        self.chars = np.ascontiguousarray(np.frombuffer(chars, np.uint64).reshape(-1, CHARS).T)
+        self.pairs = np.frombuffer(pairs, np.uint64).reshape(-1, PAIRS)
+        self.code = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).reshape(-1, self.size)
+
+
+def _candidates(x: Block, y: Block, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in the two blocks of all pairs that may have the ratio, and of some that haven't.
+
+    With m and n characters, M of them in equal blocks, a ratio r leaves
+    m + n - 2M <= (1 - r)(m + n) characters that only one of the two has, and, as
+    there are at most m + n - 2M + 1 equal blocks, 3(1 - r)(m + n) pairs of
+    neighbouring characters. Parts that share a bit lessen the difference only.
+    """
+    most = (1 - least) * (x.size + y.size) + 1e-6
+    for lo in range(0, len(x.names), 64):
+        apart = sum(np.bitwise_count(x.chars[w, lo : lo + 64, None] ^ y.chars[w]) for w in range(CHARS))
+        i, j = np.nonzero(apart <= most)
+        i += lo
+        close = np.bitwise_count(x.pairs[i] ^ y.pairs[j]).sum(1, dtype=np.int64) <= 3 * most
+        yield i[close], j[close]
+
+
+def _common(x: Block, y: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences; a bit for each character of ``x``, which has 64 at most."""
+    letters = np.unique(x.code)
+    at = np.zeros((len(x.names), len(letters) + 1), np.uint64)
+    rows = np.arange(len(x.names))
+    for k in range(x.size):
+        at[rows, np.searchsorted(letters, x.code[:, k])] |= np.uint64(1 << k)
+    code = np.minimum(np.searchsorted(letters, y.code), len(letters) - 1)
+    code = np.where(letters[code] == y.code, code, len(letters))
+    v = np.full(len(i), ~np.uint64(0))
+    for k in range(y.size):
+        u = v & at[i, code[j, k]]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v).astype(np.int64)
+
+
+def _near(x: Block, y: Block, same: bool, least: float) -> Iterator[tuple[str, str]]:
+    """Pairs whose longest common subsequence allows the ratio; in one block each pair once."""
+    i, j = map(np.concatenate, zip(*_candidates(x, y, least), strict=True))
+    if same:
+        i, j = i[i < j], j[i < j]
+    for lo in range(0, len(i), 1 << 16):
+        p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+        if x.size <= 64:  # the ratio's equal blocks are one common subsequence
+            ok = 2 * _common(x, y, p, q) >= least * (x.size + y.size) - 1e-6
+            p, q = p[ok], q[ok]
+        for a, b in zip(p.tolist(), q.tolist(), strict=True):
+            yield x.names[a], y.names[b]
+
+
+def tasks(df: DataFrame) -> int:
+    """So many tasks for work that its bytes don't tell."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
-    """a, b: different names of ``left`` and ``right`` (each with ``name``) whose ratio is ``least`` or more; ``least`` is 0.85 or over.
-
-    Names of m and n characters, m the larger, with a ratio of r have at most
-    (1 - r)(m + n) characters outside their equal blocks, and each touches one of
-    the longer name's disjoint chunks at most: some chunk is unchanged in the
-    shorter one. So each name's chunks (the rarest, one more than may be
-    changed) are joined with the substrings of the names that are no longer.
-    Pairs with too few common pairs of neighbouring characters for their ratio
-    are left out before it is computed.
+    """a, b: different names of ``left`` and ``right`` (each with ``name``) whose ratio is ``least`` or more.
+
+    Distinct names of a size are dealt into blocks, and each two blocks whose sizes
+    allow the ratio are compared: the work grows with the square of the number of
+    distinct names, at some nanoseconds a pair. What the bits leave is held against
+    its longest common subsequence, then the ratio itself is computed.
     """
-    if least < 0.85:
-        raise ValueError("below 0.85 chunks of two characters may all be changed")
     left, right = left.select("name"), right.select("name")
     left, right = _within(left, right, least), _within(right, left, least)
     every = left.select("name", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(right.select("name", F.lit(False).alias("l"), F.lit(True).alias("r")))
-    names = every.where(F.length("name") >= 2).groupBy("name").agg(F.max("l").alias("l"), F.max("r").alias("r")).withColumn("size", F.length("name"))
-    parts = lambda q: F.transform(F.sequence(F.lit(1), F.col("size") - q + 1), lambda i: F.substring(F.col("name"), i, F.lit(q)))
-    inside = F.array_distinct(F.concat(parts(2), F.when(F.col("size") >= 3, parts(3)).otherwise(F.array().cast("array<string>"))))
-    has = names.select(F.col("name").alias("short"), F.col("size").alias("n"), F.col("l").alias("sl"), F.col("r").alias("sr"), F.explode(inside).alias("g"))
-    q = _chunk(F.col("size"), least)
-    chunks = F.transform(F.sequence(F.lit(0), (F.col("size") / q).cast("int") - 1), lambda i: F.substring(F.col("name"), i * q + 1, q))
-    own = names.select(F.col("name").alias("long"), F.col("size").alias("m"), "l", "r", F.posexplode(chunks).alias("at", "g"))
-    often = has.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
-    rare = F.row_number().over(Window.partitionBy("long").orderBy("often", "at"))
-    probes = own.join(often, "g").withColumn("k", rare).where(F.col("k") <= _changed(F.col("m"), least) + 1)
-    met = probes.join(has, "g").where("(n < m OR n = m AND short < long) AND ((l AND sr) OR (r AND sl))").where(2 * F.col("n") >= least * (F.col("m") + F.col("n")))
-    met = met.select("long", "short", "l", "r", "sl", "sr").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known: dict[str, set] = {}
-            out = []
-            for x, y, l, r, sl, sr in b.itertuples(index=False, name=None):
-                gx = known.get(x) or known.setdefault(x, _grams(x))
-                gy = known.get(y) or known.setdefault(y, _grams(y))
-                # equal blocks of M characters, at most m + n - 2M + 1 of them, have so many pairs of neighbours at least
-                if len(gx & gy) < (1.5 * least - 1) * (len(x) + len(y)) - 1 - 1e-9:
-                    continue
-                # the ratio depends on the order of the two
-                if l and sr and T.similarity(x, y) >= least:
-                    out.append((x, y))
-                if sl and r and T.similarity(y, x) >= least:
-                    out.append((y, x))
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    return met.mapInPandas(run, "a string, b string")
+    names = every.groupBy("name").agg(F.max("l").alias("l"), F.max("r").alias("r")).withColumn("size", F.length("name"))
+    kinds = names.groupBy("size", "l", "r").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    block = F.concat_ws(":", F.col("size").cast("string"), F.col("l").cast("string"), F.col("r").cast("string"), F.col("part").cast("string")).alias("block")
+    dealt = names.join(F.broadcast(kinds), ["size", "l", "r"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))  # a row a size
+    blocks = dealt.groupBy(block).agg(F.collect_list("name").alias("names")).mapInArrow(_with_bits, "block string, names array<string>, chars binary, pairs binary")
+    ids = kinds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(block, "size", "l", "r")
+    of = lambda d, p: d.select(*(F.col(c).alias(p + c) for c in d.columns))
+    order = "(xsize < ysize OR xsize = ysize AND xblock <= yblock) AND (xl AND yr OR yl AND xr)"
+    met = of(ids, "x").join(F.broadcast(of(ids, "y")), F.expr(f"{order} AND {least} * (xsize + ysize) <= 2 * xsize + 1e-6"))  # a row a block, without its names
+    met = met.join(of(blocks, "x"), "xblock").join(of(blocks, "y"), "yblock").repartition(tasks(left), "xblock", "yblock")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch[c][k].as_py() for c in batch.schema.names}
+                x, y = (Block(row[p + "names"], row[p + "chars"], row[p + "pairs"]) for p in "xy")
+                a, b = [], []
+                for s, t in _near(x, y, row["xblock"] == row["yblock"], least):
+                    # the ratio depends on the order of the two
+                    for one, other, asked in ((s, t, row["xl"] and row["yr"]), (t, s, row["yl"] and row["xr"])):
+                        if asked and T.similarity(one, other) >= least:
+                            a.append(one)
+                            b.append(other)
+                yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a string, b string")

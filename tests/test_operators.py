@@ -3,11 +3,12 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kbengine.functions import text as T
-from kbengine.operators import checks, corpus, curation, federation, graph, release, reports, retrieval
+from kbengine.operators import checks, corpus, curation, federation, graph, release, reports, retrieval, similar
 from kbengine.operators.similar import similar_names
 from kbengine.sources import bundle
 
@@ -146,6 +147,31 @@ def test_similar_names_of_none_takes_no_other_apart(spark):
     assert "EmptyRelation" in final or "LocalTableScan <empty>" in final
 
 
+def test_similar_names_are_compared_by_bits(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["the", "and", "that", "thend", "anding", "ouwhe", "für", "\U0001d54f"]
+    left = [" ".join(rng.choices(words, k=rng.choice([3, 6, 6, 6, 17, 60]))) for _ in range(60)]
+    right = [x[:at] + rng.choice(["", "e", "th"]) + x[at + rng.randint(0, 2) :] for x in left for at in rng.sample(range(len(x)), 2)] + left[:5]
+    want = {(a, b) for a in left for b in right if a != b and T.similarity(a, b) >= 0.85}
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = [(r.a, r.b) for r in similar_names(frame(left), frame(right)).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    # of 4,000 names that share most of their letter triples, few pairs are left to look at one by one
+    names = sorted({"".join(rng.choices(["the ", "and ", "ing ", "oured "], k=9))[:33] for _ in range(4000)})
+    (row,) = similar._with_bits(iter([pa.record_batch([pa.array(["b"]), pa.array([names])], names=["block", "names"])]))
+    block = similar.Block(*(row[c][0].as_py() for c in ("names", "chars", "pairs")))
+    near = list(similar._near(block, block, True, 0.85))
+    assert 0 < len(near) < len(names) ** 2 / 2 * 0.1
+
+
+def test_fuzzy_candidates_leave_out_exact_ones(spark):
+    rows = [("m0", "m0:a", "retention policy", ["rules"]), ("m1", "m1:b", "retention policies", []), ("m1", "m1:c", "retention polices", ["Rules"]), ("m2", "m2:d", "retention policy", None), ("m0", "m0:meta/e", "retention policy", [])]
+    df = spark.createDataFrame(rows, "member string, ref string, title string, aliases array<string>")
+    got = sorted((r.src, r.dst) for r in federation.candidates_fuzzy(df).collect())
+    assert got == [("m0:a", "m1:b"), ("m1:b", "m2:d"), ("m1:c", "m2:d")]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("Ärger x_1 a-b", "## A b\n\ntext :ok: NumPy / Lists\n# NumPy / Lists\n## C\nz")], "t string, b string")
     r = df.select(T.tokenize(F.col("t")).alias("k"), T.section(F.col("b"), "a B").alias("s"), T.section(F.col("b"), "none").alias("n"), T.heading_slugs(F.col("b")).alias("h")).first()
