@@ -122,9 +122,12 @@ def _expanded(met: DataFrame) -> DataFrame:
 
 def candidates_exact(concepts: DataFrame, roster: list[str] | None = None) -> DataFrame:
     """src, dst: concepts of two members (in roster order) that share a normalised name."""
-    n = norms(_finals(concepts, roster), "place")
-    right = n.select(F.col("place").alias("p2"), F.col("ref").alias("dst"), "norm")
-    return n.join(right, "norm").where("place < p2").select(F.col("ref").alias("src"), "dst").distinct()
+    own = norms(_finals(concepts, roster), "place").groupBy("place", "ref").agg(F.collect_set("norm").alias("norms"))
+    # two that share several names meet under the least of them; most have one only, and need no list
+    groups = _groups(own.select("place", "ref", F.when(F.size("norms") > 1, F.col("norms")).alias("norms"), F.explode("norms").alias("name")))
+    met = groups.alias("x").join(groups.alias("y"), F.expr("x.name = y.name AND x.place < y.place"))
+    once = F.col("a.norms").isNull() | F.col("b.norms").isNull() | (F.array_min(F.array_intersect("a.norms", "b.norms")) == F.col("x"))
+    return _expanded(met).where(once).select(F.col("a.ref").alias("src"), F.col("b.ref").alias("dst"))
 
 
 def candidates_fuzzy(concepts: DataFrame, least: float = 0.85, roster: list[str] | None = None) -> DataFrame:

@@ -172,6 +172,21 @@ def test_fuzzy_candidates_leave_out_exact_ones(spark):
     assert got == [("m0:a", "m1:b"), ("m1:b", "m2:d"), ("m1:c", "m2:d")]
 
 
+def test_exact_candidates_of_a_name_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(federation, "GROUP", 4)
+    rng = random.Random(2)
+    rows = [(f"m{k % 3}", f"m{k % 3}:c{k}", "Common name" if k % 2 else f"t {k % 7}", rng.choice([None, [], ["other"], ["other", "common NAME", f"T {k % 5}"]])) for k in range(90)]
+    rows += [(m, r, "again", ["other"]) for m, r, _, _ in rows[:9]]
+    df = spark.createDataFrame(rows, "member string, ref string, title string, aliases array<string>")
+    names = [(m, r, {t.lower(), *(a.lower() for a in x or [])}) for m, r, t, x in rows]
+    want = {(a, b) for m, a, x in names for n, b, y in names if m < n and x & y}
+    out = federation.candidates_exact(df)
+    got = [(r.src, r.dst) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) > 1000
+    # pairs aren't exchanged for their distinct ones
+    assert "keys=[src" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("Ärger x_1 a-b", "## A b\n\ntext :ok: NumPy / Lists\n# NumPy / Lists\n## C\nz")], "t string, b string")
     r = df.select(T.tokenize(F.col("t")).alias("k"), T.section(F.col("b"), "a B").alias("s"), T.section(F.col("b"), "none").alias("n"), T.heading_slugs(F.col("b")).alias("h")).first()
