@@ -20,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import column, map_arrow, sampled, texts, words_of
+from .common import bit, bitmap, column, discard, map_arrow, marked, mix, texts, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
 WINDOW = 8
+#: Steps of scores, within each of which thresholds are summed in one task.
+STEPS = 1 << 14
 FEATURES = ("log_words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "words_per_line")
 
 
@@ -91,11 +94,12 @@ class Forest:
         return 0.0 if n <= 1 else 1.0 if n <= 2 else 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
     @classmethod
-    def fit(cls, x: np.ndarray, box: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 7) -> Forest:
+    def fit(cls, x: np.ndarray, box: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 7, own: list[np.ndarray] | None = None) -> Forest:
         """Grow trees over ``x``; splits are drawn from ``box``, its rows the least and greatest values.
 
         A box wider than ``x`` leaves empty leaves near the root: what falls
-        into one is unlike every row of ``x`` and has a short path.
+        into one is unlike every row of ``x`` and has a short path. ``own``: each
+        tree's rows, where they are drawn already.
         """
         rng = np.random.default_rng(seed)
         rows = min(rows, len(x))
@@ -104,13 +108,13 @@ class Forest:
         f, t, left, right, depth = (np.zeros((trees, size), dtype=d) for d in (np.int32, np.float64, np.int32, np.int32, np.float64))
         for k in range(trees):
             left[k] = right[k] = np.arange(size)
-            todo, used = [(0, rng.choice(len(x), rows, replace=False), 0, box[0], box[1])], 1
+            todo, used = [(0, own[k] if own else rng.choice(len(x), rows, replace=False), 0, box[0], box[1])], 1
             while todo:
-                node, own, level, low, high = todo.pop()
-                part = x[own]
+                node, at, level, low, high = todo.pop()
+                part = x[at]
                 open_ = np.flatnonzero(high > low)
-                if level == levels or len(own) <= 1 or not len(open_):
-                    depth[k, node] = level + cls.path(len(own))
+                if level == levels or len(at) <= 1 or not len(open_):
+                    depth[k, node] = level + cls.path(len(at))
                     continue
                 f[k, node] = rng.choice(open_)
                 t[k, node] = rng.uniform(low[f[k, node]], high[f[k, node]])
@@ -118,7 +122,7 @@ class Forest:
                 left[k, node], right[k, node] = used, used + 1
                 below, above = high.copy(), low.copy()
                 below[f[k, node]] = above[f[k, node]] = t[k, node]
-                todo += [(used, own[~goes], level + 1, low, below), (used + 1, own[goes], level + 1, above, high)]
+                todo += [(used, at[~goes], level + 1, low, below), (used + 1, at[goes], level + 1, above, high)]
                 used += 2
         return cls(f, t, left, right, depth, levels, cls.path(rows) or 1.0)
 
@@ -143,39 +147,93 @@ class Model:
     threshold: float
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, max_false: float = 0.01) -> float:
-    """The threshold with the best detected-minus-wrongly-rejected share, rejecting at most ``max_false`` of good rows."""
-    best, at = 0.0, 2.0
-    if not len(score) or good.all() or not good.any():
-        return at
-    for t in np.unique(score):
-        gone = score >= t
-        wrong, right = gone[good].mean(), gone[~good].mean()
-        if wrong <= max_false and right - wrong > best:
-            best, at = right - wrong, float(t)
-    return at
-
-
-def _stats(batches):
-    for b in batches:
-        stats = np.array([statistics(t) for t in texts(b["text"])], dtype=np.int64).reshape(-1, 7)
-        yield pa.record_batch([pa.array(stats[:, i]) for i in range(7)] + [b["quality"]], names=[*"abcdefg", "quality"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, trees: int = 100) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows, chosen by a hash of the id; the worse label of an id counts."""
-    sample = labels.select(F.col("doc_id"), column(labels, "quality", "int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = sampled(sample, sample_rows, "doc_id")
-    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    rows = map_arrow(own, _stats, "a long, b long, c long, d long, e long, f long, g long, quality int").orderBy(*"abcdefg", "quality").limit(4 * sample_rows).toPandas().to_numpy()
-    rows = rows[np.lexsort(rows.T)] if len(rows) else rows.reshape(0, 8)  # the order of arrival doesn't matter
-    stats, good = rows[:, :7], rows[:, 7] == 1
-    passed = ~base_failed(stats[:, 0], stats[:, 4])
-    x = features(stats)
-    if (good & passed).sum() < 16:
+def calibrate(counts: DataFrame, max_false: float = 0.01) -> float:
+    """The threshold with the best detected-minus-wrongly-rejected share, rejecting at most ``max_false`` of good rows.
+
+    ``counts`` has the distinct scores (0 to 1) with their numbers of ``good`` and ``bad`` rows.
+    Scores are dealt into ``STEPS`` steps, whose sums go to the driver; within a step they are summed by score.
+    """
+    step = F.floor(F.col("score") * STEPS).alias("step")
+    sums = counts.groupBy(step).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy(F.desc("step")).collect()
+    n_good, n_bad = sum(r.good for r in sums), sum(r.bad for r in sums)
+    if not n_good or not n_bad:
+        return 2.0
+    above, good, bad = [], 0, 0
+    for r in sums:
+        above.append((r.step, good, bad))
+        good, bad = good + r.good, bad + r.bad
+    before = counts.sparkSession.createDataFrame(above, "step long, above_good long, above_bad long")
+    down = Window.partitionBy("step").orderBy(F.desc("score"))
+    gone = counts.withColumn("step", step).join(F.broadcast(before), "step")  # a row a step
+    gone = gone.select("score", (F.sum("good").over(down) + F.col("above_good")).alias("wrong"), (F.sum("bad").over(down) + F.col("above_bad")).alias("right"))
+    gain = F.col("right").cast("decimal(38,0)") * n_good - F.col("wrong").cast("decimal(38,0)") * n_bad
+    best = gone.where(F.col("wrong") / n_good <= max_false).agg(F.max(F.struct(gain.alias("gain"), (-F.col("score")).alias("low"))).alias("best")).first().best
+    return -best.low if best and best.gain > 0 else 2.0
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, good, x: features of every labelled row that the fixed rules pass; the worse label of an id counts."""
+    worst = labels.select(column(labels, "doc_id", "long").alias("doc_id"), column(labels, "quality", "int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(worst.select("doc_id")))
+
+    def run(batches):
+        wanted = np.frombuffer(bits.value, np.uint64)
+        for b in batches:
+            b = b.filter(pa.array(marked(wanted, b["at"].to_numpy())))
+            stats = np.array([statistics(t) for t in texts(b["text"])], dtype=np.int64).reshape(-1, 7)
+            passed = ~base_failed(stats[:, 0], stats[:, 4])
+            x = pa.array(list(features(stats[passed])), pa.list_(pa.float64()))
+            b = b.filter(pa.array(passed))
+            yield pa.record_batch([b["doc_id"], b["key"], x], names=["doc_id", "key", "x"])
+
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    own = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL").withColumns({"key": F.xxhash64("doc_id", "text"), "at": bit(F.col("doc_id"))})
+    return map_arrow(own, run, "doc_id long, key long, x array<double>").join(worst, "doc_id").select("key", (F.col("quality") == 1).alias("good"), "x")
+
+
+def _of_trees(rows: DataFrame, n: int, trees: int, size: int) -> list[np.ndarray]:
+    """``size`` of the ``n`` good rows for each tree, those with the least hashes of the tree's own."""
+    share = min(1.0, (size + 10 * np.sqrt(size)) / n)
+
+    def run(batches):
+        for b in batches:
+            key, x = b["key"].to_numpy().view(np.uint64), b["x"]
+            for k in range(trees):
+                h = mix(key ^ mix(np.full(len(key), k + 1, np.uint64)))
+                near = np.flatnonzero(h >> np.uint64(11) < share * 2.0**53)
+                if len(near):
+                    yield pa.record_batch([pa.array(np.full(len(near), k, np.int32)), pa.array(h[near].view(np.int64)), x.take(pa.array(near))], names=["tree", "h", "x"])
+
+    found = map_arrow(rows.where("good").select("key", "x"), run, "tree int, h long, x array<double>").toPandas()
+    x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
+    tree, h = found["tree"].to_numpy(), found["h"].to_numpy().view(np.uint64)
+    order = np.lexsort((*x.T, h, tree))  # the order of arrival doesn't matter
+    x, tree = x[order], tree[order]
+    return [x[tree == k][:size] for k in range(trees)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 100, rows: int = 256) -> Model:
+    """Fit on all labelled rows: the forest's ``rows`` a tree are drawn from all good ones, box and threshold come from all."""
+    own = written(_labelled(docs, labels), "quality")
+    ends = [f(F.col("x")[k]).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(len(FEATURES))]
+    sums = own.agg(F.count_if("good").alias("good"), *ends).first()
+    if sums.good < 16:
+        discard(own)
         return Model(None, 2.0)
-    forest = Forest.fit(x[good & passed], np.stack([x[passed].min(0), x[passed].max(0)]), trees)
-    return Model(forest, calibrate(forest.score(x[passed]), good[passed]))
+    box = np.array([[sums[f"{name}{k}"] for k in range(len(FEATURES))] for name in ("low", "high")])
+    parts = _of_trees(own, sums.good, trees, min(rows, sums.good))
+    forest = Forest.fit(np.concatenate(parts), box, trees, min(rows, sums.good), own=np.split(np.arange(sum(map(len, parts))), np.cumsum([len(p) for p in parts])[:-1]))
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
+            yield pa.record_batch([pa.array(forest.score(x)), b["good"]], names=["score", "good"])
+
+    scores = map_arrow(own.select("x", "good"), run, "score double, good boolean")
+    counts = written(scores.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "scores")
+    threshold = calibrate(counts)
+    discard(own, counts)
+    return Model(forest, threshold)
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:

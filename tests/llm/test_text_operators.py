@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from kbengine.llm import byte_bpe, pii_crf, quality_rules, queries, toxicity
 
@@ -48,6 +49,35 @@ def test_forest_tells_junk_apart(spark):
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.3
 
 
+def plain_threshold(score, good):
+    gone = [(sum(1 for s, g in zip(score, good, strict=True) if s >= t and g), sum(1 for s, g in zip(score, good, strict=True) if s >= t and not g), t) for t in set(score)]
+    n, m = sum(good), len(good) - sum(good)
+    best = max((right * n - wrong * m, -t) for wrong, right, t in gone if wrong / n <= 0.01)
+    return -best[1] if best[0] > 0 else 2.0
+
+
+def test_threshold_is_of_all_labelled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(quality_rules, "STEPS", 8)
+    for low in (0.3, 0.9):
+        good = rng.random(500) < 0.7
+        score = np.round(np.where(good, rng.random(500) * 0.6, low + rng.random(500) * (1 - low)), 2)
+        rows = spark.createDataFrame([(float(s), int(g), int(not g)) for s, g in zip(score, good, strict=True)], "score double, good long, bad long")
+        got = quality_rules.calibrate(rows.groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+        assert got == plain_threshold(score.tolist(), good.tolist())
+    # more labelled rows than the 4,000 that were looked at before
+    words = ["alpha", "beta", "gamma", "de", "#x", "y|", "longerword"]
+    own = [(k, " ".join(rng.choice(words, 20 + k % 90, p=[0.3, 0.3, 0.2, 0.17, 0.01, 0.01, 0.01] if k % 5 else None)), int(k % 5 > 0)) for k in range(4600)]
+    frame = spark.createDataFrame(own, "doc_id long, text string, quality int")
+    model = quality_rules.fit(frame, frame.select("doc_id", "quality"))
+    quality = {k: q == 1 for k, _, q in own}
+    passed = [r for r in quality_rules.apply(frame, model).collect() if not r.base_failed]
+    assert len(passed) > 4000 and 0 < model.threshold < 1
+    assert model.threshold == plain_threshold([r.anomaly for r in passed], [quality[r.doc_id] for r in passed])
+    again = quality_rules.fit(frame.repartition(3), frame.select("doc_id", "quality"))
+    assert again.threshold == model.threshold and np.array_equal(again.forest.threshold, model.forest.threshold)
+
+
 def test_no_labels_and_no_rows(spark, make):
     docs = make([(1, "word " * 30 + "and so on")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
