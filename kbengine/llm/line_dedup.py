@@ -1,15 +1,17 @@
 """Removing repeated runs of lines.
 
-``dedup_runs`` removes every run of two or more lines with words that occurs
-anywhere before, in whatever context: each two neighbouring lines with words
-are hashed with the white lines between them, and a pair that occurs before
-goes once its bytes have been compared with those of the first place. A longer
-run is the union of its pairs.
-
-``dedup`` removes whole content-defined chunks only: a rolling hash over the
-last ``SPAN`` line hashes ends a chunk where its low bits are zero, so an
-inserted line moves the boundaries near it only. Runs within which no two
-common boundaries fall stay; the registered queries use ``dedup_runs``.
+``dedup`` removes whole content-defined chunks: a rolling hash over the last
+``SPAN`` line hashes ends a chunk where its low bits are zero, so an inserted
+line moves the boundaries near it only. Runs within which no two common
+boundaries fall stay.
+
+``dedup_runs``, which the registered queries use, finds the repeated chunks in
+the same way and then, for what no chunk covers, exactly every run of two or
+more lines with words that occurs anywhere before, in whatever context: each two
+neighbouring lines with words that aren't both inside a repeated chunk are
+hashed with the white lines between them, and a pair that occurs before goes
+once its bytes have been compared with those of the first place. A longer run
+is the union of its chunks and pairs.
 
 Defined results: a null text stays null, an empty one empty; repeated rows
 (same id, same text) are one document and end up alike; rows that share only an
@@ -135,20 +137,53 @@ def pair_bodies(text: str, marks: list[int]) -> list[bytes]:
     return [text[at[i][0] : at[i + 1][1]].encode() for i in marks]
 
 
+def cut_rest(text: str, marks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of lines that aren't inside a marked chunk."""
+    inside = set(within(text, marks))
+    idx, low, high = cut_pairs(text)
+    rest = np.array([i not in inside for i in idx.tolist()], bool)
+    return (idx[rest], low[rest], high[rest]) if inside else (idx, low, high)
+
+
+def within(text: str, marks: list[int]) -> list[int]:
+    """The numbers of the pairs of lines inside the marked chunks."""
+    if not marks:
+        return []
+    gone, out, at = set(marks), [], 0
+    for i, c in enumerate(chunks(text)):
+        n = sum(1 for x in c.split("\n") if x.strip(WHITE))
+        if i in gone:
+            out += range(at, at + n - 1)
+        at += n
+    return out
+
+
+def cut_out_both(text: str, marks: list[int]) -> tuple[str, int, str]:
+    """Odd marks are chunks', twice their number and one; even ones are twice a pair's."""
+    return cut_out_pairs(text, sorted({m >> 1 for m in marks if not m & 1}.union(within(text, [m >> 1 for m in marks if m & 1]))))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated chunks, n_removed (chunks) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    return _removed(own, repeats.placed(repeats.units(own, cut)).where("many"), chunk_bodies, cut_out, docs.columns)
+    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(_same(own, repeats.units(own, cut), chunk_bodies))), cut_out, docs.columns)
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated runs of lines, n_removed (lines with words) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    return _removed(own, repeats.placed(repeats.units(own, cut_pairs)).where("many"), pair_bodies, cut_out_pairs, docs.columns)
-
-
-def _removed(own: DataFrame, places: DataFrame, bodies_of, cut_out, columns: list[str]) -> DataFrame:
-    # with all columns, as below, so that the texts are exchanged once for both joins
+    whole = _same(own, repeats.units(own, cut), chunk_bodies)
+    # the first place of a pair is in no repeated chunk, since that chunk's own first place would come before
+    pairs = _same(own, repeats.units(repeats.with_marks(own, repeats.by_document(whole)), cut_rest), pair_bodies)
+    twice = F.col("at") + F.col("at").bitwiseAND(repeats.IDX - 1)
+    both = whole.select("doc_id", (twice + 1).alias("at")).unionByName(pairs.select("doc_id", twice.alias("at")))
+    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(both)), cut_out_both, docs.columns)
+
+
+def _same(own: DataFrame, units: DataFrame, bodies_of) -> DataFrame:
+    """doc_id, at: the places of units whose bytes are those of an earlier place."""
+    places = repeats.placed(units).where("many")
+    # with all columns, as where texts are rebuilt, so that they are exchanged once for all joins
     asked = repeats.with_marks(own, repeats.by_document(places), "inner")
 
     def pick(batches):
@@ -163,5 +198,4 @@ def _removed(own: DataFrame, places: DataFrame, bodies_of, cut_out, columns: lis
     bodies = map_arrow(asked, pick, "doc_id long, at long, body binary").dropDuplicates(["doc_id", "at"])
     rest = places.where(repeats.LATER).select("doc_id", "at", "first_id", "first_at")
     firsts = bodies.select(F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"), F.col("body").alias("first_body"))
-    same = rest.join(bodies, ["doc_id", "at"]).join(firsts, ["first_id", "first_at"]).where(F.col("body") == F.col("first_body"))
-    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(same.select("doc_id", "at"))), cut_out, columns)
+    return rest.join(bodies, ["doc_id", "at"]).join(firsts, ["first_id", "first_at"]).where(F.col("body") == F.col("first_body")).select("doc_id", "at")

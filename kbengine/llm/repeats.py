@@ -44,8 +44,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def units(docs: DataFrame, cut: Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Every unit's place; ``cut`` gives numbers and two hashes of a text's units.
+def units(docs: DataFrame, cut: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Every unit's place; ``cut`` gives numbers and two hashes of a text's units, by its marks as well where ``docs`` has ``__idx``.
 
     ``first_id`` and ``first_at``: the place of the batch that comes first, null
     for that place itself; ``more``: whether others of the batch follow it.
@@ -55,9 +55,10 @@ def units(docs: DataFrame, cut: Callable[[str], tuple[np.ndarray, np.ndarray, np
         for b in batches:
             ids = [LAST if x is None else x for x in b["doc_id"].to_pylist()]
             hashes = b["__h"].to_pylist()
+            marks = [b[c].to_pylist() for c in marked]
             rows, ats, h1s, h2s = [], [], [], []
             for k, text in enumerate(texts(b["text"])):
-                idx, h1, h2 = cut(text)
+                idx, h1, h2 = cut(text, *(m[k] or [] for m in marks))
                 if len(idx):
                     rows.append(np.full(len(idx), k))
                     ats.append(hashes[k] * IDX + idx.astype(np.int64))
@@ -85,7 +86,8 @@ def units(docs: DataFrame, cut: Callable[[str], tuple[np.ndarray, np.ndarray, np
             cols = [h1.view(np.int64), h2.view(np.int64), doc, at]
             yield pa.record_batch([*(pa.array(c[keep]) for c in cols), *(pa.array(c[keep], mask=~later[keep]) for c in (first_id, first_at)), pa.array(more[keep])], names=["h1", "h2", "doc_id", "at", "first_id", "first_at", "more"])
 
-    return map_arrow(docs.select("doc_id", "text", "__h"), run, UNITS)
+    marked = [c for c in ("__idx",) if c in docs.columns]
+    return map_arrow(docs.select("doc_id", "text", "__h", *marked), run, UNITS)
 
 
 def placed(found: DataFrame) -> DataFrame:

@@ -324,3 +324,30 @@ def test_items_behind_many_partial_copies(spark, make):
     rows = [(n, " ".join([*(other * n), *own])) for n in (1, 63, 64, 300)] + [(1000, " ".join(other * 64))]
     got = {r.doc_id: r.item_ids for r in decontamination.report(make(rows), spark.createDataFrame([(5, " ".join(own))], "item_id long, text string")).collect()}
     assert [got[n] for n in (1, 63, 64, 300)] == ["5"] * 4
+
+
+def test_runs_go_by_chunks_and_the_rest_by_pairs(make, monkeypatch):
+    rng = random.Random(6)
+    shared = [f"line {k} of a shared passage" for k in range(40)]
+    docs = []
+    for k in range(30):
+        at, n = rng.randrange(36), rng.choice([2, 3, 12, 30])
+        own = [f"own {k} {i}" for i in range(rng.randint(0, 6))]
+        docs.append((k, "\n".join([*own, *shared[at : at + n], "", *own[:1], *shared[at : at + 3]]) + rng.choice(["", "\n"])))
+    asked, units = [], line_dedup.repeats.units
+    monkeypatch.setattr(line_dedup.repeats, "units", lambda d, cut: asked.append(cut) or units(d, cut))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(make(docs)).collect()}
+    assert asked == [line_dedup.cut, line_dedup.cut_rest]
+    seen, want = set(), {}
+    for k, text in docs:
+        at = line_dedup.worded(text)
+        own = [text[a[0] : b[1]] for a, b in zip(at, at[1:])]
+        later = []
+        for i, x in enumerate(own):
+            later += [i] if x in seen else []
+            seen.add(x)
+        want[k] = line_dedup.cut_out_pairs(text, later)[0] if later else text
+    assert got == want
+    text = docs[2][1]
+    n = len(line_dedup.chunks(text))
+    assert n > 1 and len(line_dedup.cut_rest(text, list(range(n)))[0]) == sum(1 for i in range(n)) - 1
