@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import map_arrow, mix, texts
+from .common import bit, bitmap, discard, map_arrow, marked, mix, texts, written
 
 SPAN = 2
 #: A chunk ends at one line in so many.
@@ -166,23 +166,39 @@ def cut_out_both(text: str, marks: list[int]) -> tuple[str, int, str]:
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated chunks, n_removed (chunks) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(_same(own, repeats.units(own, cut), chunk_bodies))), cut_out, docs.columns)
+    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(_same(own, repeats.placed(repeats.units(own, cut)).where("many"), chunk_bodies))), cut_out, docs.columns)
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated runs of lines, n_removed (lines with words) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
-    whole = _same(own, repeats.units(own, cut), chunk_bodies)
+    places = written(repeats.placed(repeats.units(own, cut)).where("many"), "chunks")
+    whole = written(_same(_holding(own, places), places, chunk_bodies), "repeated")
+    discard(places)
     # the first place of a pair is in no repeated chunk, since that chunk's own first place would come before
-    pairs = _same(own, repeats.units(repeats.with_marks(own, repeats.by_document(whole)), cut_rest), pair_bodies)
+    rest = repeats.units(repeats.with_marks(own, repeats.by_document(whole)), cut_rest)
+    pairs = _same(own, repeats.placed(rest).where("many"), pair_bodies)
     twice = F.col("at") + F.col("at").bitwiseAND(repeats.IDX - 1)
     both = whole.select("doc_id", (twice + 1).alias("at")).unionByName(pairs.select("doc_id", twice.alias("at")))
     return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(both)), cut_out_both, docs.columns)
 
 
-def _same(own: DataFrame, units: DataFrame, bodies_of) -> DataFrame:
-    """doc_id, at: the places of units whose bytes are those of an earlier place."""
-    places = repeats.placed(units).where("many")
+def _holding(own: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, text, __h of the documents with a place, and by chance of others: no other text is exchanged."""
+    shared = own.sparkSession.sparkContext.broadcast(bitmap(places.select("doc_id")))
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint64)
+        for b in batches:
+            some = b.filter(pa.array(marked(bits, b["__at"].to_numpy())))
+            yield pa.RecordBatch.from_arrays(some.columns[:-1], names=some.schema.names[:-1])
+
+    at = bit(F.coalesce("doc_id", F.lit(repeats.LAST))).alias("__at")
+    return map_arrow(own.select("doc_id", "text", "__h", at), run, "doc_id long, text string, __h long")
+
+
+def _same(own: DataFrame, places: DataFrame, bodies_of) -> DataFrame:
+    """doc_id, at: those of the places whose bytes are those of their first one."""
     # with all columns, as where texts are rebuilt, so that they are exchanged once for all joins
     asked = repeats.with_marks(own, repeats.by_document(places), "inner")
 
