@@ -177,7 +177,8 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     discard(places)
     # the first place of a pair is in no repeated chunk, since that chunk's own first place would come before
     rest = repeats.units(repeats.with_marks(own, repeats.by_document(whole)), cut_rest)
-    pairs = _same(own, repeats.placed(rest).where("many"), pair_bodies)
+    later = written(repeats.placed(rest).where("many"), "pairs")
+    pairs = _same(_holding(own, later), later, pair_bodies)
     twice = F.col("at") + F.col("at").bitwiseAND(repeats.IDX - 1)
     both = whole.select("doc_id", (twice + 1).alias("at")).unionByName(pairs.select("doc_id", twice.alias("at")))
     return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(both)), cut_out_both, docs.columns)
