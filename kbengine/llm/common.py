@@ -174,12 +174,16 @@ def bit(value: Column) -> Column:
     return F.xxhash64(value).bitwiseAND(MAP_BITS - 1)
 
 
-def bitmap(values: DataFrame, hashed: bool = False) -> bytes:
-    """A bitmap, of fixed size, of the table's one column: what it lacks is in no row, so such rows need no exchange. Values that are hashes already stand by their low bits."""
+def bitmap_words(values: DataFrame, hashed: bool = False) -> DataFrame:
+    """w, bits: the words with a bit set of the bitmap of the table's one column. Values that are hashes already stand by their low bits."""
     own = F.col(values.columns[0])
-    words = values.select((own.bitwiseAND(MAP_BITS - 1) if hashed else bit(own)).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    return values.select((own.bitwiseAND(MAP_BITS - 1) if hashed else bit(own)).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+
+
+def bitmap(values: DataFrame, hashed: bool = False) -> bytes:
+    """A bitmap, of fixed size, of the table's one column: what it lacks is in no row, so such rows need no exchange."""
     out = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
+    for r in bitmap_words(values, hashed).toLocalIterator():
         out[r.w] = r.bits
     return out.tobytes()
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import bit, bitmap, discard, map_arrow, marked, mix, texts, written
+from .common import bit, bitmap_words, discard, map_arrow, mix, texts, written
 
 SPAN = 2
 #: A chunk ends at one line in so many.
@@ -173,35 +173,36 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, texts without repeated runs of lines, n_removed (lines with words) and removed (start:end, code points)."""
     own = repeats.keyed(docs)
     places = written(repeats.placed(repeats.units(own, cut)).where("many"), "chunks")
-    whole = written(_same(_holding(own, places), places, chunk_bodies), "repeated")
+    whole = written(_same(_held(own, places)[0], places, chunk_bodies), "repeated")
     discard(places)
     # the first place of a pair is in no repeated chunk, since that chunk's own first place would come before
-    rest = repeats.units(repeats.with_marks(own, repeats.by_document(whole)), cut_rest)
+    rest = repeats.units(_marked(own, whole), cut_rest)
     later = written(repeats.placed(rest).where("many"), "pairs")
-    pairs = _same(_holding(own, later), later, pair_bodies)
+    pairs = _same(_held(own, later)[0], later, pair_bodies)
     twice = F.col("at") + F.col("at").bitwiseAND(repeats.IDX - 1)
-    both = whole.select("doc_id", (twice + 1).alias("at")).unionByName(pairs.select("doc_id", twice.alias("at")))
-    return repeats.rebuilt(repeats.with_marks(own, repeats.by_document(both)), cut_out_both, docs.columns)
+    both = written(whole.select("doc_id", (twice + 1).alias("at")).unionByName(pairs.select("doc_id", twice.alias("at"))), "gone")
+    discard(whole, later)
+    return repeats.rebuilt(_marked(own, both), cut_out_both, docs.columns)
 
 
-def _holding(own: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, text, __h of the documents with a place, and by chance of others: no other text is exchanged."""
-    shared = own.sparkSession.sparkContext.broadcast(bitmap(places.select("doc_id")))
+def _held(own: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with a place, and by chance others; and the rest, which need no exchange. Told apart by a bitmap of fixed size."""
+    words = F.broadcast(bitmap_words(places.select("doc_id")))
+    at = bit(F.coalesce("doc_id", F.lit(repeats.LAST)))
+    out = own.withColumn("__at", at).join(words.withColumnsRenamed({"w": "__w", "bits": "__bits"}), F.shiftright("__at", 6) == F.col("__w"), "left")
+    held = F.coalesce(F.expr("shiftright(__bits, CAST(__at & 63 AS INT)) & 1"), F.lit(0)) == 1
+    return tuple(out.where(some).select(own.columns) for some in (held, ~held))
 
-    def run(batches):
-        bits = np.frombuffer(shared.value, np.uint64)
-        for b in batches:
-            some = b.filter(pa.array(marked(bits, b["__at"].to_numpy())))
-            yield pa.RecordBatch.from_arrays(some.columns[:-1], names=some.schema.names[:-1])
 
-    at = bit(F.coalesce("doc_id", F.lit(repeats.LAST))).alias("__at")
-    return map_arrow(own.select("doc_id", "text", "__h", at), run, "doc_id long, text string, __h long")
+def _marked(own: DataFrame, places: DataFrame) -> DataFrame:
+    """``own`` with each document's ``__idx``; only documents with a place are exchanged."""
+    held, free = _held(own, places)
+    return repeats.with_marks(held, repeats.by_document(places)).unionByName(free.withColumn("__idx", F.lit(None).cast("array<int>")))
 
 
 def _same(own: DataFrame, places: DataFrame, bodies_of) -> DataFrame:
     """doc_id, at: those of the places whose bytes are those of their first one."""
-    # with all columns, as where texts are rebuilt, so that they are exchanged once for all joins
-    asked = repeats.with_marks(own, repeats.by_document(places), "inner")
+    asked = repeats.with_marks(own.select("doc_id", "text", "__h"), repeats.by_document(places), "inner")
 
     def pick(batches):
         for b in batches:

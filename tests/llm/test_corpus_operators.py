@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from kbengine.llm import chat_format, decontamination, jaccard_join, line_dedup, queries, sharding, substring_dedup
 
+from .conftest import prose
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -351,3 +353,18 @@ def test_runs_go_by_chunks_and_the_rest_by_pairs(make, monkeypatch):
     text = docs[2][1]
     n = len(line_dedup.chunks(text))
     assert n > 1 and len(line_dedup.cut_rest(text, list(range(n)))[0]) == sum(1 for i in range(n)) - 1
+
+
+def test_documents_without_repeated_lines_are_not_exchanged(make, monkeypatch):
+    rng = random.Random(9)
+    shared = "\n".join(prose(rng, 8) for _ in range(12))
+    rows = [(k, "\n".join(prose(rng, 8) for _ in range(6))) for k in range(200)]
+    rows += [(200, shared), (201, prose(rng, 8) + "\n" + shared), (None, shared), (202, None), (203, "")]
+    asked, with_marks = [], line_dedup.repeats.with_marks
+    monkeypatch.setattr(line_dedup.repeats, "with_marks", lambda d, *a: asked.append({r.doc_id for r in d.select("doc_id").collect()}) or with_marks(d, *a))
+    got = line_dedup.dedup_runs(make(rows)).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_removed) for r in got if r.doc_id is None or r.doc_id > 199) == sorted([
+        ("200", shared, 0), ("201", rows[201][1].split("\n")[0] + "\n", 12), ("None", "", 12), ("202", None, 0), ("203", "", 0),
+    ], key=lambda x: x[0]) and {r.doc_id: r.text for r in got if r.doc_id is not None and r.doc_id < 200} == dict(rows[:200])
+    # for chunks' bytes, pairs' hashes, pairs' bytes and the texts; a few others may share a bit
+    assert len(asked) == 4 and all(len(x) < 10 for x in asked) and {201, None} <= asked[0] & asked[3]
