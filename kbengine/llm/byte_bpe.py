@@ -30,16 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_arrow
+from .common import give_back, kept, map_arrow
 
 #: Words from this length on are contracted by ``ENCODE_LONG``; both queries give the same ids.
 LONG = 64
 #: Bytes of the words that one query contracts.
 BYTES_A_QUERY = 1 << 18
 #: Bytes of texts that are encoded, and values that are gathered, at a time.
-TEXT_BYTES, A_TIME = 3 << 20, 1 << 18
+TEXT_BYTES, A_TIME = 1 << 20, 1 << 18
 #: Bytes of keys and values that a worker keeps for each direction before it forgets what it used least.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 36 << 20
 
 ENCODE = """
 WITH RECURSIVE state(word, ids, n) USING KEY (word) AS (
@@ -407,6 +407,8 @@ def _parts(batches):
         ends = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False))
         for lo, hi in _runs(ends // TEXT_BYTES):
             yield b.slice(lo, hi - lo)
+            # the allocators would keep what one slice took
+            give_back()
 
 
 def _own(docs: DataFrame) -> DataFrame:

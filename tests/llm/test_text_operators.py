@@ -322,3 +322,15 @@ def test_signs_behind_words_and_small_memory(monkeypatch):
     codec.encoded.missing([])
     assert codec.encoded.bytes <= 20_000 and len(codec.encoded.place) == len(codec.encoded.uses) == len(codec.encoded.edge) - 1
     codec.close()
+
+
+def test_texts_are_encoded_in_small_slices_whose_memory_goes_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(byte_bpe, "give_back", lambda: given.append(1), raising=False)
+    rows = [None, "", "a" * 300_000, *["b c " * 75_000] * 12, "d" * 5_000_000, "e"]
+    batch = pa.record_batch([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["doc_id", "text"])
+    parts = list(byte_bpe._parts([batch]))
+    assert [x for p in parts for x in p["text"].to_pylist()] == rows
+    # a megabyte and what a row has above it, but for the long row, whole
+    assert all(sum(len(x or "") for x in p["text"].to_pylist()) < (1 << 20) + 300_000 for p in parts if 13 + 2 not in p["doc_id"].to_pylist())
+    assert len(given) == len(parts) > 4
